@@ -12,6 +12,7 @@ from .packing import packed
 from .quality_model import scored, train
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import without_repeats
 from .token_counts import token_counts
 
 
@@ -38,6 +39,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.credentials(documents(spark, sf_dir)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules(documents(spark, sf_dir))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
@@ -79,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "matched", "similarity")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_secrets, op5_quality_rules, op6_chat_format, op7_token_counts, op8_packing, op9_quality_model, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_secrets, op4_suffix_dedup, op5_quality_rules, op6_chat_format, op7_token_counts, op8_packing, op9_quality_model, op10_decontamination)}
 
 _HEAD, _TAIL = len('<turn role="">\n'), len("\n</turn>\n")
 
