@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged, text_or_empty
+from .common import BROADCAST_ROWS, small_or_not, staged, text_or_empty
 
 MASKS = ["1101011", "1011101"]
 #: An item is in a document if of so many aligned consecutive words (all, if it has fewer) this share is equal.
@@ -73,3 +73,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_t
         found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("matched", "item_words")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", F.col("best.item_words").cast("long").alias("item_words"), F.col("best.matched").cast("long").alias("matched"), (F.col("best.matched") / F.col("best.item_words")).alias("similarity"))
+
+
+def without_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df, all columns, that contain no item of the benchmark."""
+    found = staged(contaminated(df, benchmark, text).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")).distinct(), "contaminated")
+    return df.join(small_or_not(found), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("doc_id", text_or_empty(text)) == F.col("__k")), "left_anti")

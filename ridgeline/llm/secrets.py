@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import BROADCAST_ROWS, staged, text_or_empty
 from .spans import counted, listed, with_matches
 
 KINDS = ["assign", "access", "hex", "weak", "id", "endpoint"]
@@ -91,3 +91,36 @@ def digest(found: DataFrame) -> DataFrame:
     """The columns of the query from those of credentials()."""
     counts = [counted("base", kind).alias(f"n_{kind}") for kind in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+MARK = "[SECRET]"
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans put together where they overlap or touch: array of (start, end)."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+
+    return F.aggregate(spans, none, add)
+
+
+def redacted(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with MARK in its texts for each run of secrets, and n_chars, if there is such a column, to match. Rows without secrets stay as they are."""
+    found = staged(credentials(df, text).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).agg(F.first("spans").alias("__spans")), "spans")
+    if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    rows = df.join(found, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("doc_id", text_or_empty(text)) == F.col("__t")), "left")
+    rows = rows.withColumn("__runs", merged(F.col("__spans")))
+    # The texts between runs: from one's end (0 at first) to the next one's start (the end at last).
+    lows = F.concat(F.array(F.lit(0).cast("long")), F.transform("__runs", lambda x: x["end"]))
+    highs = F.concat(F.transform("__runs", lambda x: x["start"]), F.array(F.char_length(text).cast("long")))
+    between = F.zip_with(lows, highs, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
+    changed = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(between, MARK))
+    rows = rows.withColumn(text, changed)
+    if "n_chars" in df.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])

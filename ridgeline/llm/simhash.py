@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_key, staged, text_or_empty
 
 SEED = 42
 SHINGLE = 3
@@ -175,13 +175,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of the component, both as signed longs), component_id.
+    """doc_id, k1 and k2 (see row_key), fp, root (the smallest fingerprint of the component, both as signed longs), component_id.
 
     A row for each row of df. Texts without words, null included, share fingerprint 0. Repeated rows are all in one
     component. component_id is the smallest doc_id of the component, null if none of its rows has one. Other columns
     are not read, whatever their names. An empty table gives an empty one.
     """
-    marks = staged(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(fingerprints, "long")(F.col(text)).alias("fp")), "fingerprints")
+    marks = staged(df.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text_or_empty(text)).alias("key"), F.arrow_udf(fingerprints, "long")(F.col(text)).alias("fp")).select("doc_id", "key.*", "fp"), "fingerprints")
     classes = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     keys = classes.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     roots = components(keys.mapInArrow(links_of_runs, "u long, v long"))
@@ -189,4 +189,14 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = member.select("fp", "root").join(named, "root")
     whole = classes.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return marks.join(whole, "fp").select("doc_id", "fp", "root", "component_id")
+    return marks.join(whole, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+
+
+def without_near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row of df for each component, all columns: that of the smallest doc_id (ties: of the smallest key; no id: last)."""
+    found = near_duplicates(df, text)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("best"))
+    best = best.select(F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    rows = df.withColumn("__key", row_key(text_or_empty(text))).withColumns({"__k1": F.col("__key.k1"), "__k2": F.col("__key.k2")})
+    kept = rows.join(best, (F.col("__k1") == F.col("b1")) & (F.col("__k2") == F.col("b2"))).dropDuplicates(["__k1", "__k2"])
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
