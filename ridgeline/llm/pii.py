@@ -87,23 +87,30 @@ def base_rows(df: DataFrame, text: str) -> DataFrame:
     base = F.concat(*[as_spans(kind) for kind in KINDS])
     seeds = [as_seeds(kind) for kind in KINDS]
     instances = F.filter(F.concat(*seeds, tokens), lambda x: x["context"].isNotNull())
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), base.alias("base"), instances.alias("instances"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), base.alias("base"), instances.alias("instances"), "text")
+    return rows.withColumn("contexts", F.when(F.size("base") > 0, context_keys(F.col("text")))).drop("text")
 
 
-def occurrences(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """context_key, n: how often each wanted context occurs in all texts, whatever follows it."""
-    words = df.select(F.split(F.lower(text_or_empty(text)), r"[\x20\x09-\x0D]+").alias("w"))
-    keys = words.select(F.explode(F.transform("w", lambda w, i: F.xxhash64(F.get("w", i - 1), w))).alias("context_key"))
-    return keys.join(small_or_not(wanted.select("context_key")), "context_key").groupBy("context_key").agg(F.count("*").alias("n"))
+def context_keys(text: Column) -> Column:
+    """Hashes of all contexts in a text, whatever follows them."""
+    words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 
-def accepted_contexts(df: DataFrame, text: str, instances: DataFrame) -> DataFrame:
-    """context, kind of the accepted contexts; instances: kind, context, value, one row for each place in a text."""
+def accepted_contexts(df: DataFrame, text: str, rows: DataFrame, instances: DataFrame) -> DataFrame:
+    """context, kind of the accepted contexts; rows: those of base_rows(); instances: kind, context, value, one row for each place in a text.
+
+    How often a context occurs is counted in all texts, but first in those with seeds: contexts that occur too often
+    there already need no further count.
+    """
     edges = staged(instances.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "edges")
-    support = edges.where("kind >= 0").groupBy("context").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    support = edges.groupBy("context").agg(F.max("kind").alias("kind"), F.count("*").alias("values"), F.sum("n").alias("most")).where((F.col("kind") >= 0) & (F.col("values") >= SUPPORT))
     parts = F.split("context", " ")
-    wanted = staged(support.select("context", F.xxhash64(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("context_key")), "contexts")
-    total = staged(wanted.join(occurrences(df, text, wanted), "context_key").select("context", F.col("n").alias("total")), "totals")
+    wanted = support.select("context", "most", F.xxhash64(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("context_key"))
+    here = rows.select(F.explode("contexts").alias("context_key")).groupBy("context_key").agg(F.count("*").alias("here"))
+    wanted = staged(wanted.join(here, "context_key").where(F.col("most") >= PRECISION * F.col("here")).select("context", "context_key"), "contexts")
+    everywhere = df.select(F.explode(context_keys(text_or_empty(text))).alias("context_key")).join(small_or_not(wanted.select("context_key")), "context_key")
+    total = staged(wanted.join(everywhere.groupBy("context_key").agg(F.count("*").alias("total")), "context_key").select("context", "total"), "totals")
     known = edges
     for _ in range(ROUNDS):
         score = known.where("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
@@ -125,7 +132,7 @@ def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     places = rows.select("doc_id", "text_key", F.explode("instances").alias("x")).select("doc_id", "text_key", "x.*")
     seeded = places.groupBy("doc_id", "text_key", "start").agg(F.max_by("end", "kind").alias("end"), F.max("kind").alias("kind"), F.max_by("context", "kind").alias("context"), F.max_by("value", "kind").alias("value"))
     seeded = staged(seeded, "places")
-    accepted = accepted_contexts(df, text, seeded)
+    accepted = accepted_contexts(df, text, rows, seeded)
     added = seeded.where("kind < 0").drop("kind").join(small_or_not(accepted), "context")
     names = F.array(*map(F.lit, KINDS))
     added = added.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct(F.col("kind").alias("order"), F.get(names, F.col("kind")).alias("kind"), "start", "end")).alias("added"))
