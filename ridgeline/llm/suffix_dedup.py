@@ -1,6 +1,6 @@
 """Exact removal of long repeated substrings, by suffix arrays over shards of content.
 
-Every 400-byte string of a text has one minimizer, the smallest hash of its 16-byte substrings (ties: the first).
+Every 400-byte string of a text has one minimizer, the smallest hash of its 128-byte substrings (ties: the first).
 Runs of neighbouring strings with one minimizer form a piece, and equal strings lie in pieces with equal minimizer
 hashes. So pieces are dealt to shards by that hash, and strings need not be compared across shards. Pieces whose hash
 occurs once are dropped, equal pieces are counted and one of each goes on, and only where different pieces share a
@@ -22,25 +22,32 @@ from pyspark.sql import functions as F
 from .common import row_key, staged, text_or_empty
 
 LENGTH = 400
-GRAM = 16
+#: Bytes of the shortest strings that can be sought, and of the shortest substrings that are hashed.
+LEAST_GRAM = 16
 #: Bytes of texts whose minimizers are found at once, and of pieces under one suffix array.
-CHUNK = 4_000_000
-SHARD = 4_000_000
+CHUNK = 2_000_000
+SHARD = 1_000_000
 LANES = 8192
 SEPARATOR = b"\xff"
 
 PIECES_TYPE = "k1 long, k2 long, h long, digest long, at long, n long"
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes at each position."""
-    words = np.ndarray(raw.size - 7, "<u8", raw, 0, (1,))
-    x = words[: raw.size - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-    x ^= (x >> np.uint64(29)) ^ words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def gram_size(length: int) -> int:
+    """The power of two up to a third of length: long enough that few texts share one by chance."""
+    return max(LEAST_GRAM, 1 << (length // 3).bit_length() - 1)
+
+
+def grams(raw: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes (a power of two) at each position: of words of 8, then of neighbouring halves."""
+    x, k = np.ndarray(raw.size - 7, "<u8", raw, 0, (1,)).astype(np.uint64), 8
+    while k < size:
+        y = x[:-k] * np.uint64(0x9E3779B97F4A7C15)
+        y ^= (y >> np.uint64(29)) ^ x[k:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        y *= np.uint64(0xBF58476D1CE4E5B9)
+        y ^= y >> np.uint64(32)
+        x, k = y, 2 * k
+    return x
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,8 +67,9 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(x) for x in texts], np.int64)
     ends = np.cumsum(sizes)
-    hashes = grams(raw)
-    least = sliding_least((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashes.size, dtype=np.uint64), length - GRAM + 1)
+    size = gram_size(length)
+    hashes = grams(raw, size)
+    least = sliding_least((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashes.size, dtype=np.uint64), length - size + 1)
     text = np.repeat(np.arange(sizes.size), sizes)[: least.size]
     inside = np.arange(least.size) + length <= ends[text]
     starts = inside & np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
@@ -277,16 +285,18 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
     are told apart by a hash of the text. Other columns are not read, whatever their names. An empty table gives an
     empty one.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if length < LEAST_GRAM:
+        raise ValueError(f"length must be at least {LEAST_GRAM}")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     docs = docs.select("doc_id", "text", row_key(F.col("text")).alias("key")).select("doc_id", "text", "key.*")
     long = docs.where(F.octet_length("text") >= length)
     runs = staged(long.select("k1", "k2", "text").mapInArrow(piece_rows(length), PIECES_TYPE), "pieces")
-    shared = runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Tables to join with are staged first: Spark then splits the partitions of frequent keys.
+    shared = staged(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     suspects = staged(runs.join(shared, "h", "left_semi"), "suspects")
     classes = staged(suspects.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "n")).alias("one")).select("h", "digest", "c", "one.*"), "classes")
-    contested = classes.join(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "h", "left_semi")
+    several = staged(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
+    contested = classes.join(several, "h", "left_semi")
     wanted = contested.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct("at", "n", "h", "digest")).alias("wanted"))
     bytes_of = long.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(sliced(length), "h long, digest long, n long, bytes binary")
     dealt = bytes_of.repartition("h").sortWithinPartitions("h", "digest")
