@@ -189,6 +189,7 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = member.select("fp", "root").join(named, "root")
     whole = classes.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = staged(whole, "whole")  # Spark splits the partitions of frequent fingerprints where both sides are tables.
     return marks.join(whole, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
