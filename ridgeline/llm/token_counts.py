@@ -97,9 +97,20 @@ def in_pieces(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
         yield held
 
 
+_counts: dict[str, Counts] = {}
+
+
+def worker_counts(path: str, frequent) -> Counts:
+    """One for all tasks of a worker, so that what one task has met serves the next ones."""
+    if path not in _counts:
+        _counts.clear()
+        _counts[path] = Counts(load(path), frequent.value)
+    return _counts[path]
+
+
 def counted(frequent, path: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counts = Counts(load(path), frequent.value)
+        counts = worker_counts(path, frequent)
         for texts in batches:
             yield pa.array([n for piece in in_pieces([x or "" for x in texts.to_pylist()]) for n in counts.of(piece)], pa.int64())
 

@@ -1,13 +1,15 @@
 """Token counts, packing and quality rules against the library and brute force."""
 
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
-from ridgeline.llm.packing import Encoder, cut, packed
+from ridgeline.llm.packing import Encoder, packed, served, tree_paths
 from ridgeline.llm.quality_rules import WORD, quality_rules, rules_of
 from ridgeline.llm.token_counts import Counts, load, token_counts
 
@@ -35,7 +37,10 @@ def test_counts_are_the_librarys():
 def test_ids_are_the_librarys():
     encoder = Encoder(path("word_bpe_49k.json"))
     texts = odd_texts(4000)
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.of(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    letters = [chr(c) for c in range(33, 0x250)] + ["a", "E", "É", ".", ",", "!?"]
+    r = random.Random(8)
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.of(pa.array(texts, pa.large_string()))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_counts_nulls_repeats_and_clashes(spark):
@@ -46,48 +51,83 @@ def test_token_counts_nulls_repeats_and_clashes(spark):
     assert token_counts(df.limit(0), path("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("window", [64, 100])
-def test_packing_round_trip(spark, window):
-    texts = [None, "", *odd_texts(150), "hello world " * 400, "same", "same"]
-    df = spark.createDataFrame(rows(texts, lambda i: None if i % 7 == 0 else "hot" if i % 2 else f"s{i % 5}"), SCHEMA).repartition(5)
-    got = packed(df, path("word_bpe_49k.json"), window=window).collect()
+def held(pieces, texts, window):
+    """Checks that the pieces hold each id once, gapless in documents and windows; the windows' tokens by document."""
     tokenizer = load(path("word_bpe_49k.json"))
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     by_doc, by_sequence = {}, {}
-    for p in got:
+    for p in pieces:
         piece = ids[p.doc_id][p.start : p.start + p.length]
         assert p.length > 0 and p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
         by_doc.setdefault(p.doc_id, []).append((p.start, p.length))
         by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length, p.doc_id))
-    for i, x in ids.items():
-        assert sum(n for _, n in by_doc[i]) == len(x)
+    for parts in [*by_doc.values(), *by_sequence.values()]:
         at = 0
-        for start, n in sorted(by_doc[i]):
+        for start, n, *_ in sorted(parts):
             assert start == at
             at += n
+    assert all(sum(n for _, n in by_doc[i]) == len(x) for i, x in ids.items())
     total = sum(map(len, ids.values()))
     assert sorted(by_sequence) == list(range(-(-total // window)))
-    share: dict = {}
+    assert all(sum(n for _, n, _ in by_sequence[j]) == window for j in range(total // window))
+    return ids, by_sequence
+
+
+def shares(by_sequence, source):
+    """After each window, the tokens of each source so far."""
+    so_far, out = {}, []
+    for j in sorted(by_sequence):
+        for _, n, i in by_sequence[j]:
+            so_far[source(i)] = so_far.get(source(i), 0) + n
+        out.append(dict(so_far))
+    return out
+
+
+@pytest.mark.parametrize("window", [64, 100])
+@pytest.mark.parametrize("tiny", [False, True])
+def test_packing_round_trip(spark, window, tiny):
+    texts = [None, "", *odd_texts(150), "hello world " * 400, "same", "same"]
+    source = (lambda i: "hot" if i % 4 else f"s{i}") if tiny else (lambda i: None if i % 7 == 0 else "hot" if i % 2 else f"s{i % 5}")
+    df = spark.createDataFrame(rows(texts, source), SCHEMA).repartition(5)
+    ids, by_sequence = held(packed(df, path("word_bpe_49k.json"), window=window).collect(), texts, window)
+    total = sum(map(len, ids.values()))
+    share = {}
     for i, x in ids.items():
-        s = None if i % 7 == 0 else "hot" if i % 2 else f"s{i % 5}"
-        share[s] = share.get(s, 0) + len(x) / total
-    for j, pieces in by_sequence.items():
-        at, mine = 0, {}
-        for offset, n, i in sorted(pieces):
-            assert offset == at
-            at += n
-            s = None if i % 7 == 0 else "hot" if i % 2 else f"s{i % 5}"
-            mine[s] = mine.get(s, 0) + n
-        if j < len(by_sequence) - 1:
-            assert at == window and all(abs(mine.get(s, 0) - w * window) < 2 for s, w in share.items())
+        share[source(i)] = share.get(source(i), 0) + len(x) / total
+    deep = math.ceil(math.log2(len(share)))
+    for j, so_far in enumerate(shares(by_sequence, source)):
+        n = min((j + 1) * window, total)
+        assert all(abs(so_far.get(s, 0) - w * n) <= deep for s, w in share.items())
+
+
+def test_packing_to_targets(spark):
+    texts = ["a b c d e f g h i j " * 20] * 30
+    source = lambda i: f"s{i % 3}"
+    df = spark.createDataFrame(rows(texts), SCHEMA).repartition(4)
+    ids, by_sequence = held(packed(df, path("word_bpe_49k.json"), window=100, targets={"s0": 0.6, "s1": 0.3, "s2": 0.1}).collect(), texts, 100)
+    each = 10 * len(ids[0])
+    for j, so_far in enumerate(shares(by_sequence, source)):
+        if (j + 1) * 60 <= each:
+            assert all(abs(so_far.get(s, 0) - w * (j + 1)) <= 2 for s, w in (("s0", 60), ("s1", 30), ("s2", 10)))
+    held(packed(df, path("word_bpe_49k.json"), window=128, targets={"s1": 1}).collect(), texts, 128)
 
 
 def test_packing_empty(spark):
     assert packed(spark.createDataFrame([], SCHEMA), path("word_bpe_49k.json")).count() == 0
 
 
-def test_cut_of_a_tiny_source_in_a_large_corpus():
-    assert list(cut(0, 1, 10**12, 1, 2 * 10**12, 4096))[0][:2] == (0, 1)
+def test_counts_of_sources_never_fall():
+    r = random.Random(3)
+    for _ in range(40):
+        sources = [(str(i), r.choice([1, 2, 30, 500]), r.choice([0, 1, 5, 100])) for i in range(r.randint(1, 9))]
+        paths, total = tree_paths(sources), sum(n for _, n, _ in sources)
+        before = [0] * len(sources)
+        for n in range(total + 1):
+            now = [served(n, p) for p in paths]
+            assert sum(x for _, x in now) == n and [b for b, _ in now] == [sum(x for _, x in now[:i]) for i in range(len(now))]
+            assert all(0 <= x - b <= 1 for (_, x), b in zip(now, before))
+            before = [x for _, x in now]
+        assert before == [n for _, n, _ in sources]
 
 
 def brute_rules(text):
