@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,12 @@ def adjusted_rand_index(df: DataFrame, left: str, right: str) -> DataFrame:
     return one.select(F.when(spread == 0, 1.0).otherwise((F.col("ij") - expected) / F.when(spread != 0, spread)).alias("ari"))
 
 
-def differences(df: DataFrame, value: str, order: str, group: str | None = None) -> DataFrame:
-    """df with d1 and d2, the first and second differences of value along order."""
-    along = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
-    df = df.withColumn("d1", F.col(value) - F.lag(value).over(along))
-    return df.withColumn("d2", F.col("d1") - F.lag("d1").over(along))
+def differences(df: DataFrame, value: str, order: str, group: str) -> DataFrame:
+    """group, order, value, and d1 and d2, its first and second differences along order, which numbers the rows of a group from 0.
+
+    Neighbours meet by a shuffle on their numbers, however large a group is.
+    """
+    shifted = df.select(group, F.explode(F.array(*[F.struct((F.col(order) + k).alias(order), F.lit(k).alias("k"), F.col(value).alias("x")) for k in range(3)])).alias("s")).select(group, "s.*")
+    own, before, earlier = (F.max(F.when(F.col("k") == k, F.col("x"))) for k in range(3))
+    rows = shifted.groupBy(group, order).agg(own.alias(value), (own - before).alias("d1"), (own - before - (before - earlier)).alias("d2"), F.count_if(F.col("k") == 0).alias("n"))
+    return rows.where("n > 0").drop("n")
