@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import pii, secrets
 from .chat_format import chat_format, message_events, read_back, unescaped
-from .decontamination import contaminated
+from .decontamination import MASKS, OVERLAP, SIMILARITY, contaminated
 from .packing import packed
 from .quality_model import scored, train
 from .quality_rules import quality_rules
@@ -52,7 +52,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
-    rows = rows.union(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    rows = rows.union(spark.range(2).select(F.lit(-7), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(text)))
     out = chat_format(message_events(rows)).withColumn("turns", read_back(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("parts", lambda x: x["loss"]), lambda x: unescaped(x["text"])), "")
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
@@ -89,7 +89,29 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_secrets, op4_suffix
 
 _HEAD, _TAIL = len('<turn role="">\n'), len("\n</turn>\n")
 
+
+
+def _seeds_sql(words: str, masks: list[str]) -> str:
+    """Unnests (mask, position from 1, words under the mask) of a list of words."""
+    one = "list_transform(range(1, len({w}) - {n} + 2), lambda p: {{'m': {k}, 'p': p, 's': {words}}})"
+    return "list_concat(" + ", ".join(one.format(w=words, n=len(m), k=k, words=" || ' ' || ".join(f"{words}[p + {i}]" for i, x in enumerate(m) if x == "1")) for k, m in enumerate(masks)) + ")"
+
+
+def _words_sql(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    # All items of the tables have more words than the masks.
+    "op10_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents), b AS (SELECT item_id, {_words_sql("text")} AS v FROM benchmark),
+        ds AS (SELECT doc_id, unnest({_seeds_sql("w", MASKS)}) AS x FROM d), bs AS (SELECT item_id, unnest({_seeds_sql("v", MASKS)}) AS x FROM b),
+        hits AS (SELECT DISTINCT doc_id, item_id, ds.x.p - bs.x.p AS off FROM ds JOIN bs ON ds.x.m = bs.x.m AND ds.x.s = bs.x.s),
+        e AS (SELECT doc_id, item_id, len(v) AS n, least(len(v), {OVERLAP}) AS span,
+            list_transform(range(1, len(v) + 1), lambda k: CASE WHEN k + off >= 1 AND w[k + off] = v[k] THEN 1 ELSE 0 END) AS eq FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+        f AS (SELECT doc_id, item_id, n, list_sum(eq) AS matched, list_max(list_transform(range(1, n - span + 2), lambda i: list_sum(eq[i : i + span - 1]))) >= {SIMILARITY} * span AS near FROM e)
+        SELECT doc_id, item_id, CAST(any_value(n) AS BIGINT) AS item_words, CAST(max(matched) AS BIGINT) AS matched, max(matched) / any_value(n) AS similarity
+        FROM f WHERE near OR matched >= {SIMILARITY} * n GROUP BY doc_id, item_id""",
     "op6_chat_format": rf"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
