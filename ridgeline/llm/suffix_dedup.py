@@ -5,8 +5,12 @@ Runs of neighbouring strings with one minimizer form a piece, and equal strings
 hashes. So pieces are dealt to shards by that hash, and strings need not be compared across shards. Pieces whose hash
 occurs once are dropped, equal pieces are counted and one of each goes on, and only where different pieces share a
 hash their bytes are fetched. A shard's suffix array comes from Larsson-Sadakane refinement, its common prefixes from
-Kasai's algorithm, run in lanes. A hash with more bytes than a shard may hold is split over several suffix arrays,
-which are merged by binary search of each one's strings in the others.
+Kasai's algorithm, run in lanes.
+
+A passage in very many texts gives very many different pieces with one hash, one or two for each text, most strings of
+which occur once. Of such frequent hashes only the runs of strings go on whose own hash occurs twice; they are mostly
+equal and count as one. If one hash still has more bytes than a shard may hold, they are split over several suffix
+arrays, which are merged by binary search of each one's strings in the others.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ LEAST_GRAM = 16
 CHUNK = 2_000_000
 SHARD = 1_000_000
 LANES = 8192
+#: A hash with more different pieces than this is frequent.
+FREQUENT = 1000
 SEPARATOR = b"\xff"
 
 PIECES_TYPE = "k1 long, k2 long, h long, digest long, at long, n long"
@@ -243,17 +249,83 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
     yield from close()
 
 
+def string_keys(raw: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the `length` bytes at each position, from those of its substrings."""
+    size = gram_size(length)
+    parts = grams(raw, size)
+    n = raw.size - length + 1
+    out = np.zeros(n, np.uint64)
+    for at in [*range(0, length - size, size), length - size]:
+        out = (out ^ parts[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def string_rows(length: int):
+    """h, digest, n, bytes -> h, digest, i, w: the hash of each of a piece's strings."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            if not n.size:
+                continue
+            w = np.concatenate([string_keys(np.frombuffer(x.as_buffer(), np.uint8), length) for x in batch["bytes"]])
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.repeat(batch["h"].to_numpy(), n), np.repeat(batch["digest"].to_numpy(), n), i, w.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "digest", "i", "w"])
+
+    return key
+
+
+def cut_rows(length: int):
+    """h, digest, bytes, strings -> h, digest, part (a hash), low, n, bytes: the runs of neighbouring strings."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([*((x, pa.int64()) for x in ("h", "digest", "part", "low", "n")), ("bytes", pa.binary())])
+        for batch in batches:
+            rows = []
+            for h, digest, text, strings in zip(*(batch[x].to_pylist() for x in ("h", "digest", "bytes", "strings"))):
+                at = np.array(sorted(strings), np.int64)
+                edge = np.flatnonzero(np.diff(at) != 1)
+                for low, high in zip(at[np.r_[0, edge + 1]].tolist(), at[np.r_[edge, at.size - 1]].tolist()):
+                    part = text[low : high + length]
+                    rows.append((h, digest, int(np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64)), low, high + 1 - low, part))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k.type) for x, k in zip(zip(*rows), kinds)], schema=kinds) if rows else pa.RecordBatch.from_pylist([], kinds)
+
+    return cut
+
+
+def spans_of(pieces_: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """h, digest, low, high of pieces (h, digest, n, bytes): see repeated_spans()."""
+    dealt = pieces_.select("h", "digest", "n", "bytes").repartition("h").sortWithinPartitions("h", "digest")
+    return dealt.mapInArrow(lambda batches: repeated_spans(batches, length, shard_bytes), "h long, digest long, low long, high long")
+
+
+def frequent_spans(pieces_: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """The same for pieces of frequent hashes."""
+    strings = pieces_.mapInArrow(string_rows(length), "h long, digest long, i long, w long")
+    twice = staged(strings.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "strings")
+    kept = strings.join(twice, "w").groupBy("h", "digest").agg(F.collect_list("i").alias("strings"))
+    parts = pieces_.join(kept, ["h", "digest"]).select("h", "digest", "bytes", "strings").mapInArrow(cut_rows(length), "h long, digest long, part long, low long, n long, bytes binary")
+    parts = staged(parts, "parts")
+    kinds = staged(parts.groupBy("h", F.col("part").alias("digest")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("bytes").alias("bytes")), "kinds")
+    single = kinds.where("c = 1").select("h", "digest").join(spans_of(kinds, length, shard_bytes), ["h", "digest"])
+    found = kinds.where("c > 1").select("h", "digest", F.lit(0).cast("long").alias("low"), F.col("n").alias("high")).unionByName(single)
+    found = staged(found.select("h", F.col("digest").alias("part"), F.col("low").alias("from"), F.col("high").alias("to")), "found")
+    return parts.select("h", "digest", "part", "low").join(found, ["h", "part"]).select("h", "digest", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+
+
 def sliced(length: int):
-    """text, wanted (at, n, h, digest) -> h, digest, n, bytes."""
+    """text, wanted (at, n, h, digest, frequent) -> h, digest, frequent, n, bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for text, wanted in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["wanted"].to_pylist()):
                 for x in wanted:
-                    for column, value in zip(rows, (x["h"], x["digest"], x["n"], text[x["at"] : x["at"] + x["n"] + length - 1]), strict=True):
+                    for column, value in zip(rows, (x["h"], x["digest"], x["frequent"], x["n"], text[x["at"] : x["at"] + x["n"] + length - 1]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "digest", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["h", "digest", "frequent", "n", "bytes"])
 
     return cut
 
@@ -276,7 +348,7 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD) -> DataFrame:
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary), a row for each row of df.
 
     A byte goes if a string of `length` bytes that covers it also starts elsewhere, in any row, its own included.
@@ -295,12 +367,12 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
     shared = staged(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     suspects = staged(runs.join(shared, "h", "left_semi"), "suspects")
     classes = staged(suspects.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "n")).alias("one")).select("h", "digest", "c", "one.*"), "classes")
-    several = staged(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
-    contested = classes.join(several, "h", "left_semi")
-    wanted = contested.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct("at", "n", "h", "digest")).alias("wanted"))
-    bytes_of = long.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(sliced(length), "h long, digest long, n long, bytes binary")
-    dealt = bytes_of.repartition("h").sortWithinPartitions("h", "digest")
-    found = dealt.mapInArrow(lambda batches: repeated_spans(batches, length, shard_bytes), "h long, digest long, low long, high long")
+    several = staged(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", (F.col("k") > frequent).alias("frequent")), "several")
+    contested = classes.join(several, "h")
+    wanted = contested.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct("at", "n", "h", "digest", "frequent")).alias("wanted"))
+    bytes_of = long.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(sliced(length), "h long, digest long, frequent boolean, n long, bytes binary")
+    bytes_of = staged(bytes_of, "bytes")
+    found = spans_of(bytes_of.where("NOT frequent"), length, shard_bytes).unionByName(frequent_spans(bytes_of.where("frequent"), length, shard_bytes))
     single = classes.where("c = 1").select("h", "digest").join(found, ["h", "digest"])
     marked = staged(classes.where("c > 1").select("h", "digest", F.lit(0).cast("long").alias("low"), F.col("n").alias("high")).unionByName(single), "marked")
     spans = suspects.join(marked, ["h", "digest"]).select("k1", "k2", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high") - 1 + length).alias("high"))

@@ -124,10 +124,10 @@ def made_texts(r):
 
 
 def test_repeats_against_brute_force(spark):
-    for seed, length, shard in ((1, 40, 4_000_000), (2, 64, 3_000), (3, 16, 2_000), (4, 100, 9_000)):
+    for seed, length, shard, frequent in ((1, 40, 4_000_000, 1000), (2, 64, 3_000, 1000), (3, 16, 2_000, 3), (4, 100, 9_000, 1), (5, 60, 2_000, 5)):
         texts = made_texts(random.Random(seed))
         df = spark.createDataFrame(list(enumerate(texts)), DOCS).selectExpr("*", "1 k1", "2 spans")
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in without_repeats(df, length=length, shard_bytes=shard).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in without_repeats(df, length=length, shard_bytes=shard, frequent=frequent).collect()}
         assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
