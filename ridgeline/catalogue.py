@@ -10,6 +10,7 @@ from .functions.metrics import adjusted_rand_index, differences
 from .functions.ranking import ranked
 from .graph import Graph
 from .operators.affinity import affinity_counts, affinity_round, best_cluster
+from .operators.comparators import label_propagation, louvain, modularity
 from .operators.scoring import step, weights
 from .operators.segments import demoted, first_strong, kinds, runs
 from .plans import projections as P
@@ -330,6 +331,13 @@ def ari_segment_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjusted_rand_index(P.table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey").select(F.round("ari", 9).alias("ari"))
 
 
+@query(f"""WITH {TRADE}, x AS (SELECT src % 5 AS a, dst % 5 AS b FROM p), y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
+    z AS (SELECT a, count(*) AS n, count(*) FILTER (WHERE a = b) AS i FROM y GROUP BY a) SELECT round(sum(i) / sum(n) - sum(n * n) / (sum(n) * sum(n)), 9) AS modularity FROM z""")
+def modularity_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = P.trade_graph(spark, sf_dir)
+    return modularity(graph, graph.vertices.select("vid", (F.col("pos") % 5).alias("community"))).select(F.round("modularity", 9).alias("modularity"))
+
+
 # Synthetic graphs
 
 
@@ -385,3 +393,13 @@ def cluster_full_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_full_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.knn_graph(spark, sf_dir).cluster(0.1, 5, 0.25, 10).get_clusters().select("cluster_id", "pos", "key")
+
+
+@query()
+def louvain_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return louvain(P.knn_graph(spark, sf_dir))
+
+
+@query()
+def label_propagation_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_propagation(P.knn_graph(spark, sf_dir))
