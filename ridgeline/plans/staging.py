@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -11,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 500_000
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import this library, wherever the driver was started; a cluster gets it by --py-files."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where there is none (local runs), a temporary folder."""
     context = spark.sparkContext
