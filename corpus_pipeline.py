@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import staged
+from ridgeline.llm.common import importable, staged
 from ridgeline.llm.decontamination import without_contaminated
 from ridgeline.llm.packing import packed
 from ridgeline.llm.quality_rules import quality_rules
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    docs = documents(importable(spark), sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

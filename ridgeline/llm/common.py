@@ -1,36 +1,13 @@
-"""What the operators of this package share: the folder for intermediate tables, row keys, sizes of joins."""
+"""What the operators of this package share: intermediate tables, row keys, sizes of joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but these six characters.
-SPACE = r"\x20\x09-\x0D"
-#: A table is broadcast only if it has at most so many rows of a few numbers each (about 20 MB).
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (local tests), a temporary one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once, written to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline-{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from ..plans.staging import BROADCAST_ROWS, importable, staged
+
+__all__ = ["BROADCAST_ROWS", "importable", "row_key", "small_or_not", "staged", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
