@@ -197,7 +197,7 @@ def without_near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     """One row of df for each component, all columns: that of the smallest doc_id (ties: of the smallest key; no id: last)."""
     found = near_duplicates(df, text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("best"))
-    best = best.select(F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    best = best.select(F.col("best.k1").alias("__b1"), F.col("best.k2").alias("__b2"))
     rows = df.withColumn("__key", row_key(text_or_empty(text))).withColumns({"__k1": F.col("__key.k1"), "__k2": F.col("__key.k2")})
-    kept = rows.join(best, (F.col("__k1") == F.col("b1")) & (F.col("__k2") == F.col("b2"))).dropDuplicates(["__k1", "__k2"])
+    kept = rows.join(best, (F.col("__k1") == F.col("__b1")) & (F.col("__k2") == F.col("__b2"))).dropDuplicates(["__k1", "__k2"])
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
