@@ -35,13 +35,13 @@ class Graph:
 
     @staticmethod
     def from_edges(df: DataFrame, src: str, dst: str, order: str | list[str], more_keys: DataFrame | None = None) -> Graph:
-        """Vertices are numbered as they first appear along `order`, a source before its destination.
+        """Vertices are numbered as they first appear along `order` (ties: by the ends' keys), a source before its destination.
 
         more_keys: (key, at) of further vertices, `at` on the scale of twice the edge's number; without `at` they come last.
         """
         order = [order] if isinstance(order, str) else order
         named = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(src).cast("string").alias("s"), F.col(dst).cast("string").alias("d"))
-        named = staged(ranked(named, [F.col(f"__o{i}") for i in range(len(order))], "eid").select("eid", "s", "d"), "edges")
+        named = staged(ranked(named, [*[F.col(f"__o{i}") for i in range(len(order))], F.col("s"), F.col("d")], "eid").select("eid", "s", "d"), "edges")
         seen = named.select(F.explode(F.array(F.struct(F.col("s").alias("key"), (2 * F.col("eid")).alias("at")), F.struct(F.col("d").alias("key"), (2 * F.col("eid") + 1).alias("at")))).alias("x")).select("x.*")
         if more_keys is not None:
             seen = seen.unionByName(more_keys.select(F.col("key").cast("string").alias("key"), F.col("at").cast("long") if "at" in more_keys.columns else F.lit((1 << 62)).alias("at")))
