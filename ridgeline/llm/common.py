@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import BROADCAST_ROWS, importable, staged
 
-__all__ = ["BROADCAST_ROWS", "importable", "row_key", "small_or_not", "staged", "text_or_empty"]
+__all__ = ["BROADCAST_ROWS", "importable", "row_key", "slices", "small_or_not", "staged", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -22,3 +27,14 @@ def row_key(text: Column, doc_id: str = "doc_id") -> Column:
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small enough, else as it is (Spark then shuffles). df should be staged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """texts in order, in slices of about so many bytes: a worker's memory then hangs on this, not on the size of Spark's batches."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+    pa.default_memory_pool().release_unused()

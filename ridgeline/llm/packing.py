@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not, staged
+from .common import slices, small_or_not, staged
 from .token_counts import LONGEST_KEY, ODD, load
 
 #: Punctuation that may close a word, what letters the short way is not taken for, and the splitting pattern that it is right for.
@@ -36,7 +36,9 @@ CLOSING = ".,;:!?"
 BEYOND = "[\u0130\u0300-\U0010ffff]"
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stems of words, and whole words, that a worker keeps in each of two generations.
-CACHE = 400_000
+CACHE = 250_000
+#: Bytes of texts worked on at once.
+SLICE = 4_000_000
 WINDOW = 4096
 END_ID = 2
 PIECES_TYPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,12 +82,11 @@ class Encoder:
         self.words, self.stems = Cache(), Cache()
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        parts = json.loads(self.tokenizer.to_str())
-        self.merges = type(self.tokenizer).from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self.merges = type(self.tokenizer)(self.tokenizer.model)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.plain = pre_tokenized_letters(parts)
+        self.plain = pre_tokenized_letters(self.tokenizer)
 
     @staticmethod
     def ids(tokenizer, texts: list[str]) -> list[bytes]:
@@ -137,17 +138,6 @@ class Encoder:
         return [odd[i] if i in odd else laid[a:b].tobytes() for i, (a, b) in enumerate(zip(border, border[1:]))]
 
 
-def text_pieces(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.LargeStringArray]:
-    """texts in order, null ones empty, in slices of about so many bytes."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    upto = np.cumsum(pc.binary_length(texts).to_numpy())
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of flat that `of` names, one after the other, and their sizes."""
     size = sizes[of]
@@ -155,10 +145,11 @@ def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarr
     return flat[np.repeat(begins[of] - ends + size, size) + np.arange(ends[-1] if ends.size else 0)], size
 
 
-def pre_tokenized_letters(parts: dict) -> bool:
+def pre_tokenized_letters(tokenizer) -> bool:
     """Whether the tokenizer composes and lower-cases, takes runs of letters and of punctuation apart, and no more."""
-    normalizers = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
-    steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    first, second = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    normalizers = [x["type"] for x in first.get("normalizers", [])]
+    steps = second.get("pretokenizers", [])
     return normalizers == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("pattern", {}).get("Regex") == LETTER_RUNS and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
 
 
@@ -169,7 +160,7 @@ def encoded_rows(path: str, end_id: int):
         part, so_far = TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            ids = [x + end for piece in text_pieces(batch["text"]) for x in encoder(path).of(piece)]
+            ids = [x + end for piece in slices(batch["text"], SLICE) for x in encoder(path).of(pc.fill_null(piece.cast(pa.large_string()), ""))]
             before = []
             for source, x in zip(batch["source"].to_pylist(), ids, strict=True):
                 before.append(so_far.get(source, 0))

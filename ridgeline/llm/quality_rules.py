@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Repeats of fewer words don't count as covered.
@@ -26,7 +28,9 @@ MAX_COVERED = 0.35
 MAX_LONGEST = 100
 MAX_LONGEST_SHARE = 0.2
 #: Words worked on at once; a longer document is worked on alone.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 300_000
+#: Bytes of texts taken from a batch at once.
+SLICE = 2_000_000
 
 RULES_TYPE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
@@ -144,7 +148,7 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
         kinds = {"boolean": pa.bool_(), "long": pa.int64()}
         fields = [(name, kinds[kind]) for name, kind in (x.split(" ") for x in RULES_TYPE.split(", "))]
         for texts in batches:
-            rows = rules_of(texts.to_pylist())
+            rows = [row for piece in slices(texts, SLICE) for row in rules_of(piece.to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in fields], [name for name, _ in fields])
 
     judged = F.arrow_udf(judge, RULES_TYPE)

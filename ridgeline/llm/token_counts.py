@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the tokenizer's pattern doesn't: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
@@ -27,6 +29,8 @@ FREQUENT = 65_536
 #: Entries of a worker's cache, and characters of a chunk that is kept there; a full cache is emptied.
 CACHE = 500_000
 LONGEST_KEY = 64
+#: Bytes of texts worked on at once.
+SLICE = 4_000_000
 
 
 def load(path: str):
@@ -84,19 +88,6 @@ def frequent_table(df: DataFrame, text: str, path: str, rows: int = SAMPLE_ROWS,
     return dict(zip(chunks, Counts(load(path), {}).lengths(chunks), strict=True)) if chunks else {}
 
 
-def in_pieces(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
-    """texts in order, in lists of about so many characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 _counts: dict[str, Counts] = {}
 
 
@@ -112,7 +103,7 @@ def counted(frequent, path: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.A
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = worker_counts(path, frequent)
         for texts in batches:
-            yield pa.array([n for piece in in_pieces([x or "" for x in texts.to_pylist()]) for n in counts.of(piece)], pa.int64())
+            yield pa.array([n for piece in slices(texts, SLICE) for n in counts.of([x or "" for x in piece.to_pylist()])], pa.int64())
 
     return count
 
