@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import BROADCAST_ROWS, importable, staged
 
-__all__ = ["BROADCAST_ROWS", "importable", "row_key", "slices", "small_or_not", "staged", "text_or_empty"]
+__all__ = ["BROADCAST_ROWS", "importable", "row_key", "slices", "small_or_not", "staged", "text_or_empty", "trim"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -37,4 +38,11 @@ def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
         yield texts.slice(at, end - at)
         at = end
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system; Spark keeps workers for later tasks."""
     pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
