@@ -36,7 +36,7 @@ CLOSING = ".,;:!?"
 BEYOND = "[\u0130\u0300-\U0010ffff]"
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stems of words, and whole words, that a worker keeps in each of two generations.
-CACHE = 200_000
+CACHE = 250_000
 #: Bytes of texts worked on at once.
 SLICE = 4_000_000
 WINDOW = 4096
