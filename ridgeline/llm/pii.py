@@ -3,7 +3,7 @@
 A context is the two words before a match, in lower case. Matches of the base patterns are the seeds. In each round
 the graph of contexts and instances (tokens with a digit or @) is scored: a context is accepted if enough different
 known instances follow it, and if they follow it most times that it occurs anywhere; unknown tokens after accepted
-contexts become known for the next round. SQL functions alone.
+contexts become known for the next round, until no context is newly accepted. SQL functions alone.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 CONTEXT = r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
-#: Different known instances that must follow a context, the share of its occurrences that they must make up, rounds.
+#: Different known instances that must follow a context, the share of its occurrences that they must make up.
 SUPPORT = 3
 PRECISION = 0.5
-ROUNDS = 2
 #: Characters of a token that can be an instance.
 LEAST_TOKEN = 4
 
@@ -100,24 +99,28 @@ def context_keys(text: Column) -> Column:
 def accepted_contexts(df: DataFrame, text: str, rows: DataFrame, instances: DataFrame) -> DataFrame:
     """context, kind of the accepted contexts; rows: those of base_rows(); instances: kind, context, value, one row for each place in a text.
 
-    How often a context occurs is counted in all texts, but first in those with seeds: contexts that occur too often
-    there already need no further count.
+    A context can be accepted in any round, so all that have enough different instances, known or not, are counted. How
+    often a context occurs is counted in all texts, but first in those with seeds: contexts that occur too often there
+    already need no further count. Rounds go on until no context is newly accepted.
     """
     edges = staged(instances.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "edges")
-    support = edges.groupBy("context").agg(F.max("kind").alias("kind"), F.count("*").alias("values"), F.sum("n").alias("most")).where((F.col("kind") >= 0) & (F.col("values") >= SUPPORT))
+    support = edges.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("most")).where(F.col("values") >= SUPPORT)
     parts = F.split("context", " ")
     wanted = support.select("context", "most", F.xxhash64(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("context_key"))
     here = rows.select(F.explode("contexts").alias("context_key")).groupBy("context_key").agg(F.count("*").alias("here"))
-    wanted = staged(wanted.join(here, "context_key").where(F.col("most") >= PRECISION * F.col("here")).select("context", "context_key"), "contexts")
+    wanted = staged(wanted.join(here, "context_key", "left").where(F.col("most") >= PRECISION * F.coalesce("here", F.lit(0))).select("context", "context_key"), "contexts")
     everywhere = df.select(F.explode(context_keys(text_or_empty(text))).alias("context_key")).join(small_or_not(wanted.select("context_key")), "context_key")
     total = staged(wanted.join(everywhere.groupBy("context_key").agg(F.count("*").alias("total")), "context_key").select("context", "total"), "totals")
-    known = edges
-    for _ in range(ROUNDS):
-        score = known.where("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-        score = score.groupBy("context").agg(F.sum("values").alias("values"), F.sum("n").alias("n"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
-        accepted = staged(score.join(total, "context").where((F.col("values") >= SUPPORT) & (F.col("n") >= PRECISION * F.col("total"))).select("context", F.col("kind").alias("of")), "accepted")
-        found = known.join(accepted, "context").where("kind < 0").groupBy("value").agg(F.min("of").alias("found"))
-        known = staged(known.join(found, "value", "left").select("context", "value", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("found", F.lit(-1))).alias("kind"), "n"), "known")
+    known = staged(edges.join(total, "context"), "known")
+    count, last = 0, -1
+    while count > last:
+        score = known.where("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.first("total").alias("total"))
+        score = score.groupBy("context").agg(F.sum("values").alias("values"), F.sum("n").alias("n"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"), F.first("total").alias("total"))
+        accepted = staged(score.where((F.col("values") >= SUPPORT) & (F.col("n") >= PRECISION * F.col("total"))).select("context", F.col("kind").alias("of")), "accepted")
+        count, last = accepted.count(), count
+        if count > last:
+            found = known.join(accepted, "context").where("kind < 0").groupBy("value").agg(F.min("of").alias("found"))
+            known = staged(known.join(found, "value", "left").select("context", "value", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("found", F.lit(-1))).alias("kind"), "n", "total"), "known")
     return accepted.select("context", F.col("of").alias("kind"))
 
 

@@ -87,6 +87,18 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert got[10] == "phone:21:29" and got[11] == "" and got[12] == "phone:9:17" and got[None] == "phone:12:20" and len(rows) == len(said)
 
 
+def test_pii_found_identifiers_induce_contexts(spark):
+    tokens = [f"K44{i}" for i in range(3)]
+    said = [*(f"then my phone +1 (98{i}) 555-248{i}" for i in range(4)), *(f"or my phone {x}" for x in tokens)]
+    for hop in ("staff ref", "badge number", "locker code"):
+        unseen = [f"{hop[0].upper()}77{i}" for i in range(3)]
+        said += [f"the {hop} {x}" for x in tokens + unseen]
+        tokens = unseen
+    said += [f"plain version 1.{i}.9" for i in range(4)]
+    got = [r.spans for r in pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(said)), DOCS))).orderBy("doc_id").collect()]
+    assert all(x.startswith("phone:") for x in got[:-4]) and got[-4:] == [""] * 4
+
+
 def test_pii_and_secrets_of_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert pii.digest(pii.personal_data(df)).count() == 0
