@@ -25,7 +25,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-CONTEXT = r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
+SPACES = r"[\x20\x09-\x0D]+"
 #: Different known instances that must follow a context, the share of its occurrences that they must make up.
 SUPPORT = 3
 PRECISION = 0.5
@@ -54,10 +54,18 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def context(left: Column) -> Column:
-    """Null unless two whole words stand there."""
-    found = F.lower(F.concat(F.regexp_extract(left, CONTEXT, 1), F.lit(" "), F.regexp_extract(left, CONTEXT, 2)))
-    return F.when(found != " ", found)
+def token_contexts(words: Column) -> Column:
+    """Of a text's words in lower case, the two before each match of TOKEN, which is a word; null unless two stand there."""
+    at = F.filter(F.transform(words, lambda x, i: F.when(F.rlike(x, F.lit("[0-9@]")), i)), lambda i: i.isNotNull())
+    before = lambda i, k: F.get(words, F.greatest(i - k, F.lit(0)))
+    return F.transform(at, lambda i: F.when((i >= 2) & (before(i, 2) != ""), F.concat_ws(" ", before(i, 2), before(i, 1))))
+
+
+def in_context(places: str) -> Column:
+    """Sorted places with the contexts of tokens for all that begin where a token does; a seed after a space begins a token, and stands at most len(KINDS) places after it."""
+    here = lambda x, i, k: F.get(places, F.greatest(i - k, F.lit(0)))
+    own = lambda x, i: F.coalesce(*[F.when(here(x, i, k)["word"] == x["word"], here(x, i, k)["context"]) for k in range(len(KINDS) + 1)])
+    return F.transform(places, lambda x, i: F.struct(x["start"], x["end"], x["kind"], own(x, i).alias("context"), x["value"]))
 
 
 def passing(kind: str) -> Column:
@@ -69,7 +77,7 @@ def as_spans(kind: str) -> Column:
 
 
 def as_seeds(kind: str) -> Column:
-    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), context(x["left"]).alias("context"), x["value"].alias("value")))
+    return F.transform(kind, lambda x: F.struct(x["start"].alias("word"), F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("string").alias("context"), x["value"].alias("value")))
 
 
 def base_rows(df: DataFrame, text: str) -> DataFrame:
@@ -79,20 +87,22 @@ def base_rows(df: DataFrame, text: str) -> DataFrame:
         rows = with_matches(rows, kind, "text", pattern, HINTS[kind])
         rows = rows.withColumn(kind, passing(kind))
     rows = with_matches(rows, "token", "text", TOKEN)
+    rows = rows.withColumn("words", F.split(F.lower("text"), SPACES))
+    rows = rows.withColumn("token", F.arrays_zip(F.col("token").alias("t"), token_contexts(F.col("words")).alias("c")))
     # A token's span is without the punctuation around it.
-    trimmed = F.transform("token", lambda x: F.struct(x["start"], x["end"], x["value"], x["left"], F.char_length(F.regexp_extract(x["value"], r"^[^\p{L}\p{N}+@]*+", 0)).alias("lead"), F.char_length(F.regexp_extract(x["value"], r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", 0)).alias("trail")))
-    tokens = F.transform(trimmed, lambda x: F.struct((x["start"] + x["lead"]).alias("start"), (x["end"] - x["trail"]).alias("end"), F.lit(-1).alias("kind"), context(x["left"]).alias("context"), F.substring(x["value"], x["lead"] + 1, F.char_length(x["value"]) - x["lead"] - x["trail"]).alias("value")))
-    tokens = F.filter(tokens, lambda x: x["end"] - x["start"] >= LEAST_TOKEN)
+    trimmed = F.transform("token", lambda x: F.struct(x["t"]["start"].alias("start"), x["t"]["end"].alias("end"), x["t"]["value"].alias("value"), x["c"].alias("context"), F.char_length(F.regexp_extract(x["t"]["value"], r"^[^\p{L}\p{N}+@]*+", 0)).alias("lead"), F.char_length(F.regexp_extract(x["t"]["value"], r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", 0)).alias("trail")))
+    tokens = F.transform(trimmed, lambda x: F.struct(x["start"].alias("word"), F.lit(-1).alias("kind"), (x["start"] + x["lead"]).alias("start"), (x["end"] - x["trail"]).alias("end"), x["context"].alias("context"), F.substring(x["value"], x["lead"] + 1, F.char_length(x["value"]) - x["lead"] - x["trail"]).alias("value")))
     base = F.concat(*[as_spans(kind) for kind in KINDS])
     seeds = [as_seeds(kind) for kind in KINDS]
-    instances = F.filter(F.concat(*seeds, tokens), lambda x: x["context"].isNotNull())
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), base.alias("base"), instances.alias("instances"), "text")
+    rows = rows.withColumn("base", base).withColumn("places", F.array_sort(F.concat(*seeds, tokens)))
+    instances = F.filter(in_context("places"), lambda x: x["context"].isNotNull() & ((x["kind"] >= 0) | (x["end"] - x["start"] >= LEAST_TOKEN)))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "base", instances.alias("instances"), "text")
     return rows.withColumn("contexts", F.when(F.size("base") > 0, context_keys(F.col("text")))).drop("text")
 
 
 def context_keys(text: Column) -> Column:
     """Hashes of all contexts in a text, whatever follows them."""
-    words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
+    words = F.split(F.lower(text), SPACES)
     return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 

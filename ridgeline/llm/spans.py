@@ -14,10 +14,10 @@ BLOCK = 128
 
 
 def with_matches(df: DataFrame, name: str, text: str, pattern: str, hint: str | None = None) -> DataFrame:
-    """df with column `name`: array of (start, end, value, left) in order, for leftmost non-overlapping matches.
+    """df with column `name`: array of (start, end, value) in order, for leftmost non-overlapping matches.
 
-    left: up to 80 characters before the match and after the one before. hint: a string that every match contains;
-    texts without it are not searched. The text must not be null, and matches not be empty.
+    hint: a string that every match contains; texts without it are not searched. The text must not be null, and
+    matches not be empty.
     """
     searched = F.col(text) if hint is None else F.when(F.contains(F.col(text), F.lit(hint)), F.col(text)).otherwise("")
     found, gaps, sizes, starts = (f"__{name}_{x}" for x in ("found", "gaps", "sizes", "starts"))
@@ -36,11 +36,8 @@ def with_matches(df: DataFrame, name: str, text: str, pattern: str, hint: str |
     totals = F.transform(f"{starts}b", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x["g"] + x["m"]))
     df = df.withColumn(f"{starts}o", running(totals, F.lit(0).cast("long"), lambda _: F.lit(0), lambda x: x))
     df = df.withColumn(starts, F.flatten(F.zip_with(f"{starts}b", f"{starts}o", lambda b, o: running(b, o, lambda x: x["g"], lambda x: x["g"] + x["m"]))))
-    whole = F.transform(
-        F.arrays_zip(F.col(starts).alias("s"), F.col(found).alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")),
-        lambda x, i: F.struct(x["s"].alias("start"), (x["s"] + F.char_length(x["m"])).alias("end"), x["m"].alias("value"), F.concat(F.when((i == 0) & (F.char_length(x["g"]) < 80), " ").otherwise(""), F.right(x["g"], F.lit(80))).alias("left")),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string>>")
+    whole = F.transform(F.arrays_zip(F.col(starts).alias("s"), F.col(found).alias("m")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.char_length(x["m"])).alias("end"), x["m"].alias("value")))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     return df.withColumn(name, F.when(F.size(found) > 0, whole).otherwise(empty)).drop(found, gaps, sizes, starts, f"{starts}b", f"{starts}o")
 
 

@@ -99,6 +99,17 @@ def test_pii_found_identifiers_induce_contexts(spark):
     assert all(x.startswith("phone:") for x in got[:-4]) and got[-4:] == [""] * 4
 
 
+def test_pii_contexts_of_words_that_match_or_are_long(spark):
+    long = "w" * 90
+    said = []
+    for before in ("2fa mail:", "v4 addr", f"{long} is", "jane@x.com or"):
+        said += [f"x {before} jane{i}@x.com now" for i in range(3)] + [f"x {before} jane99"]
+    said += ["  2fa\tmail:\n X-99 ", "mail: Y-99", "Y-99"]
+    got = [r.spans for r in pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(said)), DOCS))).orderBy("doc_id").collect()]
+    assert [got[i].split(",")[-1] for i in (3, 7, 11, 15)] == [f"email:{(at := said[i].index('jane99'))}:{at + 6}" for i in (3, 7, 11, 15)]
+    assert got[16:] == ["email:13:17", "", ""]
+
+
 def test_pii_and_secrets_of_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert pii.digest(pii.personal_data(df)).count() == 0
