@@ -107,13 +107,13 @@ def context_keys(text: Column) -> Column:
 
 
 def accepted_contexts(df: DataFrame, text: str, rows: DataFrame, instances: DataFrame) -> DataFrame:
-    """context, kind of the accepted contexts; rows: those of base_rows(); instances: kind, context, value, one row for each place in a text.
+    """context, kind of the accepted contexts; rows: those of base_rows(); instances: kind, context, value and n (rows with it), one row for each place in a text.
 
     A context can be accepted in any round, so all that have enough different instances, known or not, are counted. How
     often a context occurs is counted in all texts, but first in those with seeds: contexts that occur too often there
     already need no further count. Rounds go on until no context is newly accepted.
     """
-    edges = staged(instances.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "edges")
+    edges = staged(instances.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "edges")
     support = edges.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("most")).where(F.col("values") >= SUPPORT)
     parts = F.split("context", " ")
     wanted = support.select("context", "most", F.xxhash64(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("context_key"))
@@ -143,10 +143,12 @@ def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = staged(base_rows(df, text), "pii")
     places = rows.select("doc_id", "text_key", F.explode("instances").alias("x")).select("doc_id", "text_key", "x.*")
-    seeded = places.groupBy("doc_id", "text_key", "start").agg(F.max_by("end", "kind").alias("end"), F.max("kind").alias("kind"), F.max_by("context", "kind").alias("context"), F.max_by("value", "kind").alias("value"))
+    # A row has one place at most of each kind at one start.
+    repeats = F.greatest(*[F.count(F.when(F.col("kind") == k, 1)) for k in range(-1, len(KINDS))])
+    seeded = places.groupBy("doc_id", "text_key", "start").agg(F.max_by("end", "kind").alias("end"), F.max("kind").alias("kind"), F.max_by("context", "kind").alias("context"), F.max_by("value", "kind").alias("value"), repeats.alias("n"))
     seeded = staged(seeded, "places")
     accepted = accepted_contexts(df, text, rows, seeded)
-    added = seeded.where("kind < 0").drop("kind").join(small_or_not(accepted), "context")
+    added = seeded.where("kind < 0").drop("kind", "n").join(small_or_not(accepted), "context")
     names = F.array(*map(F.lit, KINDS))
     added = added.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct(F.col("kind").alias("order"), F.get(names, F.col("kind")).alias("kind"), "start", "end")).alias("added"))
     whole = rows.join(added, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left")

@@ -110,6 +110,14 @@ def test_pii_contexts_of_words_that_match_or_are_long(spark):
     assert got[16:] == ["email:13:17", "", ""]
 
 
+@pytest.mark.parametrize("again", [5, None])
+def test_pii_repeated_rows_count_on_both_sides(spark, again):
+    said = [(i, f"then my phone +1 (98{i}) 555-248{i}") for i in range(4)] + [(again, "of my phone 555-7777")] * 2
+    said += [(8, "then my phone +1 (989) 555-2489")] * 40 + [(9, "or my phone 555-8888")]
+    got = dict((r.doc_id, r.spans) for r in pii.digest(pii.personal_data(spark.createDataFrame(said, DOCS))).collect())
+    assert got[9] == "phone:12:20" and got[again] == "phone:12:20"
+
+
 def test_pii_and_secrets_of_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert pii.digest(pii.personal_data(df)).count() == 0
