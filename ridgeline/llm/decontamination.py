@@ -17,6 +17,11 @@ MASKS = ["1101011", "1011101"]
 #: An item is in a document if of so many aligned consecutive words (all, if it has fewer) this share is equal.
 OVERLAP = 25
 SIMILARITY = 0.8
+#: Masks beside MASKS, and the numbers of words of the items that they are for. With at most a fifth of its words
+#: substituted, no item's masks are all broken: tests enumerate this. Up to 4 words none may be, so all are under 1s.
+SHORT_MASKS = {"1111": [*range(5, OVERLAP), 30], "11011": [5, 6, 7, 10, 11], "10111": [5], "11101": [5]}
+#: From so many words on, all items have the same masks.
+LONG = 31
 #: Benchmark items in a block, at most; with BROADCAST_ROWS hashes this bounds what is broadcast.
 BLOCK_ITEMS = 5_000
 
@@ -26,6 +31,13 @@ def words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
+def item_masks(n: int) -> list[str]:
+    """The masks for items of n words."""
+    if n < 5:
+        return ["1" * n]
+    return (MASKS if n >= OVERLAP or n == 15 else []) + [m for m, of in SHORT_MASKS.items() if n in of]
+
+
 def seeds(hashes: str, masks: list[str]) -> Column:
     """For each mask a hash at each position, one mask's after the other's."""
 
@@ -52,23 +64,25 @@ def hit_rows(docs: DataFrame, items: DataFrame, hashes: DataFrame, masks: list[s
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """doc_id, text_key, item_id, item_words, matched, similarity: a row for each document and item that it contains.
 
-    Null and empty texts contain nothing, and items without words are in nothing. Items shorter than the masks are
-    sought as they are. Repeated rows, and repeated items of one id, give one row. matched is the most along one
+    Null and empty texts contain nothing, and items without words are in nothing. Items have masks by
+    their number of words. Repeated rows, and repeated items of one id, give one row. matched is the most along one
     alignment. Other columns are not read, whatever their names. Empty tables give no rows.
     """
     docs = df.select("doc_id", text_or_empty(text).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), words(F.col("text")).alias("w"))
     items = benchmark.select(F.col("item_id").alias("id"), words(text_or_empty(item_text)).alias("v")).where(F.size("v") > 0).distinct()
     items = staged(items.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20))), "items")
     count, total = items.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    short = [r.n for r in items.where(F.size("v") < len(MASKS[0])).select(F.size("v").alias("n")).distinct().collect()]
-    masks = MASKS + ["1" * n for n in sorted(short)]
+    sizes = [r.n for r in items.select(F.least(F.size("v"), F.lit(LONG)).alias("n")).distinct().collect()]
+    of = {n: item_masks(n) for n in sizes}
+    masks = sorted({m for x in of.values() for m in x}) or MASKS
+    fits = F.create_map(*[F.lit(x) for n in sizes for x in (n, ",".join(of[n]))]) if sizes else F.create_map(F.lit(0), F.lit(""))
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-total * len(masks) // BROADCAST_ROWS))
     found = None
     for k in range(blocks):
         own = items.where(F.col("block") % blocks == k).drop("block")
-        # Each mask where it fits: the last word under it lies in the item.
-        hashes = own.select("id", "v", F.posexplode(seeds("v", masks)).alias("p", "seed")).select(F.col("id").alias("item_id"), "seed", (F.col("p") % F.size("v")).alias("q"), F.get(F.array(*[F.lit(len(m)) for m in masks]), F.floor(F.col("p") / F.size("v")).cast("int")).alias("span"), F.size("v").alias("n"))
-        hashes = hashes.where("q + span <= n AND (span >= %d OR span = n)" % len(MASKS[0])).select("item_id", "seed", "q")
+        # Each mask of the item where it fits: the last word under it lies in the item.
+        hashes = own.select("id", "v", F.posexplode(seeds("v", masks)).alias("p", "seed")).select(F.col("id").alias("item_id"), "seed", (F.col("p") % F.size("v")).alias("q"), F.get(F.array(*map(F.lit, masks)), F.floor(F.col("p") / F.size("v")).cast("int")).alias("mask"), F.size("v").alias("n"))
+        hashes = hashes.where((F.col("q") + F.char_length("mask") <= F.col("n")) & F.array_contains(F.split(fits[F.least("n", F.lit(LONG))], ","), F.col("mask"))).select("item_id", "seed", "q")
         rows = hit_rows(docs, own, hashes, masks)
         found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("matched", "item_words")).alias("best"))

@@ -1,6 +1,7 @@
 """PII, secrets, decontamination and chat formatting against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import pii, secrets
 from ridgeline.llm.chat_format import chat_format, message_events, read_back
-from ridgeline.llm.decontamination import contaminated
+from ridgeline.llm.decontamination import contaminated, item_masks
 
 DOCS = "doc_id long, text string"
 PII = {
@@ -173,6 +174,34 @@ def test_decontamination_against_brute_force(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_no_substitutions_break_all_masks():
+    for n in range(1, 26):
+        seeds = [sum(1 << p + i for i, c in enumerate(m) if c == "1") for m in item_masks(n) for p in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << i for i in gone)
+            assert any(not x & bits for x in seeds), (n, gone)
+    for n in range(26, 200):
+        # The fewest substitutions that break all masks, by the last 7 words.
+        masks, fewest = [(len(m), int(m, 2)) for m in item_masks(n)], {0: 0}
+        for i in range(n):
+            after = {}
+            for bits, count in fewest.items():
+                for x in (0, 1):
+                    now = (bits << 1 | x) & 127
+                    if all(i + 1 < size or now & m for size, m in masks):
+                        after[now] = min(count + x, after.get(now, n))
+            fewest = after
+        assert min(fewest.values()) > n // 5, n
+
+
+def test_decontamination_finds_neighbouring_substitutions(spark):
+    cases = [(5, [2]), (6, [3]), (7, [3]), (10, [2, 3]), (10, [3, 6]), (11, [3, 7]), (12, [3, 8]), (14, [3, 10]), (15, [0, 7, 8]), (15, [3, 7, 11]), (20, [4, 5, 12, 13]), (30, [6, 7, 14, 15, 22, 23])]
+    items = [(k, " ".join(f"i{k}w{i}" for i in range(n))) for k, (n, _) in enumerate(cases)]
+    docs = [(k, "before " + " ".join("changed" if i in gone else f"i{k}w{i}" for i in range(n)) + " after") for k, (n, gone) in enumerate(cases)]
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == [(k, k, n - len(gone)) for k, (n, gone) in enumerate(cases)]
+
+
 def test_chat_round_trip(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (1, 1, "assistant", "<turn role=\"user\">\n&lt;x\n</turn>\n"), (2, 0, None, None), (2, None, "assistant", "first"), (None, 0, "as\"s<&", "t"), (3, 0, "user", "same"), (3, 0, "user", "same")]
