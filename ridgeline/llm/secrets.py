@@ -20,12 +20,14 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]++", "hex": "(?<![0-9a-f])[0-9a-f]{24,}+"}
 HINTS = {"access": "AKIA"}
 WEAK = {
-    "weak": "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{16,}+",
+    "weak": "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+",
     "id": r"""(?i:client|access|account|tenant|user|key)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.-]{6,})""",
     "endpoint": r"""(?i:[a-z][a-z0-9+]{1,9}://|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9][^\x20\x09-\x0D"'<>]{3,}""",
 }
 #: Characters between two parts that are in one scope, at most.
 SCOPE = 256
+#: Characters of a block: more than a scope, so that the next block is the farthest that a scope reaches.
+BLOCK = SCOPE + 1
 
 
 def as_parts(kind: str) -> Column:
@@ -50,8 +52,8 @@ def near(left: DataFrame, right: DataFrame, how: str, apart: int) -> DataFrame:
     """
     side = 1 if apart else 0
     left_end, right_end = F.col("end") - 1, F.col("end") - 1
-    at = left.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(left_end / SCOPE))))
-    other = right.select("doc_id", "text_key", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - side, F.floor(right_end / SCOPE) + side)).alias("block"))
+    at = left.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(left_end / BLOCK))))
+    other = right.select("doc_id", "text_key", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BLOCK) - side, F.floor(right_end / BLOCK) + side)).alias("block"))
     other = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
     gap = F.greatest(F.col("start") - F.col("o_end"), F.col("o_start") - F.col("end"))
     same = F.col("doc_id").eqNullSafe(F.col("o_doc_id")) & (F.col("text_key") == F.col("o_text_key")) & (F.col("block") == F.col("o_block"))
