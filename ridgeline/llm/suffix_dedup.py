@@ -208,6 +208,7 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
     """h, digest, n, bytes in order of h and digest -> h, digest, low, high: maximal ranges of strings that occur in other pieces too."""
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
+    begin = 0  # of held, where the last row's hash begins
     hot: list[tuple[list, Shard]] = []
 
     def spans(rows: list, shard: Shard) -> pa.RecordBatch:
@@ -240,9 +241,16 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
                 yield from close()
             elif last is not None and row[:2] == last[:2]:
                 continue  # a repeated row's piece
-            elif size >= shard_bytes and held[0][0] == row[0]:
-                hot.append((held, Shard([r[3] for r in held], [r[2] for r in held], length)))
-                held, size = [], 0
+            elif last is not None and row[0] == last[0] and size >= shard_bytes:
+                if begin:  # the hashes before are whole
+                    own, held = held[begin:], held[:begin]
+                    yield from close()
+                    held, size, begin = own, sum(len(r[3]) for r in own), 0
+                if size >= shard_bytes:
+                    hot.append((held, Shard([r[3] for r in held], [r[2] for r in held], length)))
+                    held, size = [], 0
+            if last is None or row[0] != last[0]:
+                begin = len(held)
             held.append(row)
             size += len(row[3])
             last = row

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import xxhash
 
-from ridgeline.llm import simhash
+from ridgeline.llm import simhash, suffix_dedup
 from ridgeline.llm.simhash import fingerprint, near_duplicates
 from ridgeline.llm.suffix_dedup import Shard, without_repeats
 
@@ -157,3 +157,34 @@ def test_shards_merge_by_binary_search():
             seen[p[i : i + 50]] = seen.get(p[i : i + 50], 0) + 1
     want = [seen[p[i : i + 50]] > 1 for p in parts for i in range(len(p) - 49)]
     assert np.concatenate([s.repeated for s in shards]).tolist() == want and any(want) and not all(want)
+
+
+def test_a_hot_hash_is_split_wherever_it_begins(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(10)
+    passage = bytes(r.choice(b"ab") for _ in range(200))
+    sizes = []
+
+    class Sized(Shard):
+        def __init__(self, parts, counts, length):
+            sizes.append(sum(map(len, parts)))
+            super().__init__(parts, counts, length)
+
+    monkeypatch.setattr(suffix_dedup, "Shard", Sized)
+    for before in ([], [1], [1, 1, 2, 3], [1] * 30):
+        rows = [(h, k, bytes(r.choice(b"cd") for _ in range(80))) for k, h in enumerate(before)]
+        rows += [(5, 100 + k, bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) + passage[r.randint(0, 60) : r.randint(130, 200)]) for k in range(60)]
+        rows += [(6, 200, b"ef" * 40)]
+        columns = [[h for h, *_ in rows], [d for _, d, _ in rows], [len(x) - 49 for *_, x in rows], [x for *_, x in rows]]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["h", "digest", "n", "bytes"])
+        sizes.clear()
+        got = set()
+        for out in suffix_dedup.repeated_spans(iter([batch.slice(i, 7) for i in range(0, batch.num_rows, 7)]), 50, 1000):
+            got |= {(x["digest"], i) for x in out.to_pylist() for i in range(x["low"], x["high"])}
+        seen = {}
+        for *_, x in rows:
+            for i in range(len(x) - 49):
+                seen[x[i : i + 50]] = seen.get(x[i : i + 50], 0) + 1
+        assert got == {(d, i) for _, d, x in rows for i in range(len(x) - 49) if seen[x[i : i + 50]] > 1} and got
+        assert max(sizes) <= 1000 + 240
