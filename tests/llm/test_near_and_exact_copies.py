@@ -131,6 +131,51 @@ def test_repeats_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
+def brute_passages(texts, passage):
+    words = [(t or "").encode().split() for t in texts]
+    seen = {}
+    for w in words:
+        for i in range(len(w) - passage + 1):
+            seen[tuple(w[i : i + passage])] = seen.get(tuple(w[i : i + passage]), 0) + 1
+    return [sorted({k for i in range(len(w) - passage + 1) if seen[tuple(w[i : i + passage])] > 1 for k in range(i, i + passage)}) for w in words]
+
+
+def made_passages(r):
+    """Passages of short and long words, whole and changed, among words that few texts share."""
+    word = lambda: r.choice(["a", "b", "é", "on", "of", "thing", "x" * r.randint(1, 30)])
+    passages = [[word() for _ in range(r.randint(8, 60))] for _ in range(5)]
+    texts = [None, "", "few words", "la " * 90, "x" * 2000, " \n".join(passages[0]), "\t".join(passages[0]), " ".join(["same"] * 40 + ["x" * 5000] + ["same"] * 40)]
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            part = list(r.choice([*passages, [word() + str(r.random()) for _ in range(r.randint(0, 30))]]))
+            if part and r.random() < 0.3:
+                part[r.randrange(len(part))] = "changed"
+            words += part
+        texts.append("".join(w + r.choice([" ", "  ", "\n"]) for w in words))
+    return texts
+
+
+def test_passages_of_words_against_brute_force(spark):
+    for seed, passage, shard, frequent in ((1, 10, 4_000_000, 1000), (2, 25, 1_500, 2), (3, 50, 9_000, 1), (4, 1, 1_500, 5)):
+        texts = made_passages(random.Random(seed))
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        got = {r.doc_id: r for r in without_repeats(df, length=90, shard_bytes=shard, frequent=frequent, passage=passage).collect()}
+        covered = [[k for x in got[i].passages for k in range(x.low, x.high)] for i in range(len(texts))]
+        assert covered == brute_passages(texts, passage) and any(covered)
+        assert [got[i].n_passage_words for i in range(len(texts))] == list(map(len, covered))
+        assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, hashlib.sha256(got[i].kept).hexdigest()) for i in range(len(texts))] == brute_repeats(texts, 90)
+
+
+def test_a_passage_shorter_than_the_bytes_that_go(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(55)]
+    texts = [" ".join([*(word() for _ in range(40)), *passage, *(word() for _ in range(40))]) for _ in range(3)] + [" ".join(word() for _ in range(120))]
+    got = without_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    assert [(x.n_removed, x.n_passage_words, [tuple(y) for y in x.passages]) for x in got] == [(0, 55, [(40, 95)])] * 3 + [(0, 0, [])]
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = "one and the same text of some length, " * 20
     other = " ".join(map(str, range(300)))
@@ -146,7 +191,8 @@ def test_shards_merge_by_binary_search():
     passage = bytes(r.choice(b"ab") for _ in range(300))
     parts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 90))) + passage[r.randint(0, 60) : r.randint(150, 300)] for _ in range(40)]
     counts = [len(p) - 49 for p in parts]
-    shards = [Shard(parts[i : i + 10], counts[i : i + 10], 50) for i in range(0, 40, 10)]
+    found = [suffix_dedup.strings(p, n, False, 50, 1) for p, n in zip(parts, counts)]
+    shards = [Shard(parts[i : i + 10], found[i : i + 10]) for i in range(0, 40, 10)]
     for s in shards:
         for t in shards:
             if s is not t:
@@ -167,9 +213,9 @@ def test_a_hot_hash_is_split_wherever_it_begins(monkeypatch):
     sizes = []
 
     class Sized(Shard):
-        def __init__(self, parts, counts, length):
+        def __init__(self, parts, found):
             sizes.append(sum(map(len, parts)))
-            super().__init__(parts, counts, length)
+            super().__init__(parts, found)
 
     monkeypatch.setattr(suffix_dedup, "Shard", Sized)
     for before in ([], [1], [1, 1, 2, 3], [1] * 30):
@@ -180,7 +226,7 @@ def test_a_hot_hash_is_split_wherever_it_begins(monkeypatch):
         batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["h", "digest", "n", "bytes"])
         sizes.clear()
         got = set()
-        for out in suffix_dedup.repeated_spans(iter([batch.slice(i, 7) for i in range(0, batch.num_rows, 7)]), 50, 1000):
+        for out in suffix_dedup.repeated_spans(iter([batch.slice(i, 7) for i in range(0, batch.num_rows, 7)]), 50, 50, 1000):
             got |= {(x["digest"], i) for x in out.to_pylist() for i in range(x["low"], x["high"])}
         seen = {}
         for *_, x in rows:
