@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import BROADCAST_ROWS, importable, staged
 
-__all__ = ["BROADCAST_ROWS", "importable", "row_key", "slices", "small_or_not", "staged", "text_or_empty", "trim"]
+__all__ = ["BROADCAST_ROWS", "as_row", "back", "importable", "row_key", "slices", "small_or_not", "staged", "text_or_empty", "trim", "with_value"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -25,6 +25,21 @@ def row_key(text: Column, doc_id: str = "doc_id") -> Column:
     return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(doc_id), text).alias("k2"))
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of df in one named row, so that none clashes with what an operator adds beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def back(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of df out of its row (see as_row()), those named in `new` replaced."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns]
+
+
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for each row even where f uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small enough, else as it is (Spark then shuffles). df should be staged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
