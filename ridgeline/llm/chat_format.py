@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import with_value
+
 TURN = r'<turn role="([^"]*)">\n([^<]*)\n</turn>\n'
 EVENT_COLUMNS = ["conv_id", "seq", "kind", "turn", "role", "text"]
 
@@ -32,6 +34,27 @@ def message_events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
 
 
+def streamed_events(rows: DataFrame) -> DataFrame:
+    """An event log that folds to the rows of conv_id, turn, role, text, with events of every kind.
+
+    Each text is streamed in two parts. Of three turns one is streamed straight away, one as a draft with a delta that
+    an edit replaces, and one as a draft that is regenerated.
+    """
+    turns = message_events(rows).withColumn("said", F.coalesce("text", F.lit("")))
+    half = F.floor(F.char_length("said") / 2).cast("int")
+    first, rest = F.substring("said", F.lit(1), half), F.substring("said", half + 1, F.char_length("said"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(events)])
+
+    straight = log(("message", first), ("delta", rest))
+    edited = log(("message", F.lit("draft")), ("delta", F.lit(" of it")), ("edit", first), ("delta", rest))
+    renewed = log(("message", F.lit("draft")), ("regenerate", first), ("delta", rest))
+    way = F.col("seq") % 3
+    events = turns.select("conv_id", "seq", "turn", "role", F.explode(F.when(way == 0, straight).when(way == 1, edited).otherwise(renewed)).alias("x"))
+    return events.select("conv_id", (4 * F.col("seq") + F.col("x.k")).alias("seq"), F.col("x.kind").alias("kind"), "turn", "role", F.col("x.text").alias("text"))
+
+
 def folded(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: what the events leave standing. Events of one seq count in order of kind and text."""
     begins = F.col("kind").isin("message", "edit", "regenerate")
@@ -83,3 +106,9 @@ def read_back(formatted: Column) -> Column:
     """The turns in a formatted conversation: array of (role, text)."""
     roles, texts = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(1)), F.regexp_extract_all(formatted, F.lit(TURN), F.lit(2))
     return F.zip_with(roles, texts, lambda r, t: F.struct(unescaped(r).alias("role"), unescaped(t).alias("text")))
+
+
+def trained_texts(formatted: Column, loss_spans: Column) -> Column:
+    """What stands under the loss mask in a formatted conversation, unescaped: array of texts. Four bytes a character give places at once."""
+    cut = lambda wide, x: F.decode(F.substring(wide, (4 * x["start"] + 1).cast("int"), (4 * (x["end"] - x["start"])).cast("int")), "UTF-32")
+    return with_value(F.encode(formatted, "UTF-32"), lambda wide: F.transform(loss_spans, lambda x: unescaped(cut(wide, x))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii, secrets
-from .chat_format import chat_format, message_events, read_back, unescaped
+from .chat_format import chat_format, read_back, streamed_events, trained_texts
 from .decontamination import MASKS, OVERLAP, SIMILARITY, contaminated
 from .packing import packed
 from .quality_model import scored, train
@@ -53,8 +53,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
     rows = rows.union(spark.range(2).select(F.lit(-7), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(text)))
-    out = chat_format(message_events(rows)).withColumn("turns", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("parts", lambda x: x["loss"]), lambda x: unescaped(x["text"])), "")
+    out = chat_format(streamed_events(rows)).withColumn("turns", read_back(F.col("formatted")))
+    loss = F.array_join(trained_texts(F.col("formatted"), F.col("loss_spans")), "")
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     out = out.withColumns({"loss": loss, "said": said})
     return out.select(
@@ -90,7 +90,6 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_secrets, op4_suffix
 _HEAD, _TAIL = len('<turn role="">\n'), len("\n</turn>\n")
 
 
-
 def _seeds_sql(words: str, masks: list[str]) -> str:
     """Unnests (mask, position from 1, words under the mask) of a list of words."""
     one = "list_transform(range(1, len({w}) - {n} + 2), lambda p: {{'m': {k}, 'p': p, 's': {words}}})"
