@@ -62,14 +62,19 @@ class Cache:
         return known
 
 
+def id_kind(path: str, *others: int) -> str:
+    """The numpy type that holds every id of a tokenizer, and other ids."""
+    return "<u2" if max(load(path).get_vocab_size(with_added_tokens=True) - 1, *others, 0) < 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: str) -> Encoder:
     """One for all tasks of a worker."""
-    return Encoder(path)
+    return Encoder(path, kind)
 
 
 class Encoder:
-    """Ids of whole texts as 16-bit numbers.
+    """Ids of whole texts as numbers of 16 bits, or of 32 where the vocabulary (or least, an id that is needed) is larger.
 
     The tokenizer drops white space and never joins words across it, so it is asked once for each different word. A
     word is letters and a closing sign most times; ids of such stems are cached in lower case. Letters below U+0300 are already composed, so what the
@@ -77,20 +82,19 @@ class Encoder:
     alone then take less than half the time. Every other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str | None = None):
         self.tokenizer = load(path)
         self.words, self.stems = Cache(), Cache()
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
-            raise ValueError("ids of more than 16 bits")
+        self.kind = np.dtype(kind or id_kind(path))
         self.merges = type(self.tokenizer)(self.tokenizer.model)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.plain = pre_tokenized_letters(self.tokenizer)
 
-    @staticmethod
-    def ids(tokenizer, texts: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def looked_up(self, cache: Cache, tokenizer, words: list[str]) -> list[bytes]:
         """Ids of distinct words, from the cache or the tokenizer."""
@@ -122,8 +126,8 @@ class Encoder:
         signs[list(CLOSING.encode())] = 1 + np.arange(len(CLOSING))
         part[:, 1] = len(atoms) + np.where(plain & (closed == 1), signs[last], 0)
         atoms += [b"", *self.looked_up(self.words, self.tokenizer, list(CLOSING))]
-        sizes = np.fromiter(map(len, atoms), np.int64, len(atoms)) // 2
-        flat, size = ragged(np.frombuffer(b"".join(atoms), "<u2"), np.cumsum(sizes) - sizes, sizes, part.ravel())
+        sizes = np.fromiter(map(len, atoms), np.int64, len(atoms)) // self.kind.itemsize
+        flat, size = ragged(np.frombuffer(b"".join(atoms), self.kind), np.cumsum(sizes) - sizes, sizes, part.ravel())
         size = size.reshape(-1, 2).sum(axis=1)
         return flat, np.cumsum(size) - size, size
 
@@ -153,18 +157,18 @@ def pre_tokenized_letters(tokenizer) -> bool:
     return normalizers == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("pattern", {}).get("Regex") == LETTER_RUNS and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
 
 
-def encoded_rows(path: str, end_id: int):
+def encoded_rows(path: str, end_id: int, kind: str):
     """doc_id, source, text -> doc_id, source, part, before (tokens of the same source earlier in this partition), ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, so_far = TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [x + end for piece in slices(batch["text"], SLICE) for x in encoder(path).of(pc.fill_null(piece.cast(pa.large_string()), ""))]
+            ids = [x + end for piece in slices(batch["text"], SLICE) for x in encoder(path, kind).of(pc.fill_null(piece.cast(pa.large_string()), ""))]
             before = []
             for source, x in zip(batch["source"].to_pylist(), ids, strict=True):
                 before.append(so_far.get(source, 0))
-                so_far[source] = before[-1] + len(x) // 2
+                so_far[source] = before[-1] + len(x) // len(end)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "before", "ids"])
 
     return encode
@@ -226,7 +230,7 @@ def cut(start: int, count: int, path: list[tuple[int, int, int, int, int]], mine
             next_before, mine_after = upto(j + 1)
 
 
-def pieces_of(window: int):
+def pieces_of(window: int, kind: str):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(x.split(" ")[0], pa.int64()) for x in PIECES_TYPE.split(", ")])
         for batch in batches:
@@ -235,7 +239,7 @@ def pieces_of(window: int):
             doc_ids = batch["doc_id"].to_pylist()
             for i, (ids, start, path, mine, total) in enumerate(zip(batch["ids"], *(batch[x].to_pylist() for x in ("start", "path", "mine", "total")), strict=True)):
                 steps = paths.setdefault(tuple(path), [tuple(path[k : k + 5]) for k in range(0, len(path), 5)])
-                wide = memoryview(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")).cast("B")
+                wide = memoryview(np.frombuffer(ids.as_buffer(), kind).astype("<u4")).cast("B")
                 n = len(wide) // 4
                 for a, b, sequence, offset in cut(start, n, steps, mine, total, window):
                     for column, value in zip(rows, (doc_ids[i], a, b - a, zlib.crc32(wide[4 * a : 4 * b]), n, sequence, offset), strict=True):
@@ -262,13 +266,16 @@ def packed(df: DataFrame, path: str, source: str = "source", text: str = "text",
     """A row of PIECES_TYPE for each piece of each document: whole texts, each id in exactly one piece, only the last window short.
 
     targets: shares of the sources in each window, on any scale; a source that has run out leaves its share to others,
-    and one that is not named comes in when those beside it in the tree have run out. None: as in the corpus. A null or empty text has the end id alone. A null source is a source of its own. Repeated rows are packed each.
+    and one that is not named comes in when those beside it in the tree have run out. None: as in the corpus. A null or empty text
+    has the end id alone. A null source is a source of its own. Repeated rows are packed each. Ids take 16 bits, or 32 with
+    a vocabulary that needs them.
     Other columns are not read, whatever their names. An empty table gives no pieces. Ids are computed once, written
     to the shared folder, and not shuffled; only sums by partition and source are.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    ids = staged(rows.mapInArrow(encoded_rows(path, end_id), "doc_id long, source string, part long, before long, ids binary"), "ids")
-    sums = ids.groupBy("source", "part").agg(F.sum(F.octet_length("ids") / 2).cast("long").alias("n"))
+    kind = id_kind(path, end_id)
+    ids = staged(rows.mapInArrow(encoded_rows(path, end_id, kind), "doc_id long, source string, part long, before long, ids binary"), "ids")
+    sums = ids.groupBy("source", "part").agg(F.sum(F.octet_length("ids") / int(kind[-1])).cast("long").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     by_source = sums.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("mine"))
@@ -276,4 +283,4 @@ def packed(df: DataFrame, path: str, source: str = "source", text: str = "text",
     base = staged(sums.select(F.col("source").alias("b"), F.col("part").alias("p"), "base"), "bases")
     placed = ids.join(small_or_not(base), F.col("source").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
     placed = placed.join(small_or_not(paths), F.col("source").eqNullSafe(F.col("s")))
-    return placed.select("doc_id", "ids", (F.col("base") + F.col("before")).alias("start"), "path", "mine", "total").mapInArrow(pieces_of(window), PIECES_TYPE)
+    return placed.select("doc_id", "ids", (F.col("base") + F.col("before")).alias("start"), "path", "mine", "total").mapInArrow(pieces_of(window, kind), PIECES_TYPE)
