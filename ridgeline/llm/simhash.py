@@ -4,8 +4,9 @@ A fingerprint's 64 bits form a ring of 8 segments. If two fingerprints differ in
 a chain in which the first l segments differ in at most 3 * l / 8 bits, for every l: the first two segments are
 equal, the next three differ in one bit at most, and so on. Of those three at least two are equal, so the pair shares
 one of 3 keys of 32 bits at that start, 24 keys in all. Fingerprints that share a key are compared along the chain,
-then in full. Exact copies share a fingerprint and count once. Where many fingerprints share a key, a search from
-each one reached finds what links them without comparing all pairs of a dense group. Components of the links come from
+then in full. Exact copies share a fingerprint and count once. Where many fingerprints share a key, the four segments
+outside it hold at most 3 differing bits, so one of them is equal: the key is split by each of the four. In what still
+are many, a search from each one reached finds what links them without comparing all pairs of a dense group. Components of the links come from
 alternating star contraction; nothing of this goes to the driver.
 """
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, text_or_empty
+from .common import BROADCAST_ROWS, as_row, back, row_key, staged, text_or_empty
 
 SEED = 42
 SHINGLE = 3
@@ -31,6 +32,8 @@ BUDGET = [DISTANCE * (k + 1) // SEGMENTS for k in range(SEGMENTS)]
 PAIRS = [(2, 3), (2, 4), (3, 4)]
 #: In runs of at most so many fingerprints with one key all pairs are compared at once.
 SHORT_RUN = 16
+#: Keys of more fingerprints than this are split.
+HOT_KEY = 2_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -65,18 +68,41 @@ def segment(x: np.ndarray, i: int) -> np.ndarray:
     return (x >> np.uint64(56 - 8 * i)) & np.uint64(0xFF)
 
 
+#: A key, from the top: its start and pair (5 bits), which further segment is split by (3 bits; WHOLE: none), its four
+#: segments, the further one.
+WHOLE = 4
+
+
+def start_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 43) // len(PAIRS)
+
+
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp -> key, fp: 24 rows each. A key holds its start and pair of segments above 32 bits."""
+    """fp -> key, fp: 24 rows each."""
     for batch in batches:
         fp = batch["fp"].to_numpy().view(np.uint64)
         for start in range(SEGMENTS):
             x = turned(fp, start)
-            head = (segment(x, 0) << np.uint64(24)) | (segment(x, 1) << np.uint64(16))
+            head = (segment(x, 0) << np.uint64(32)) | (segment(x, 1) << np.uint64(24))
             for v, (a, b) in enumerate(PAIRS):
-                key = head | (segment(x, a) << np.uint64(8)) | segment(x, b) | np.uint64((start * len(PAIRS) + v) << 32)
+                code = ((start * len(PAIRS) + v) << 43) | (WHOLE << 40)
+                key = head | (segment(x, a) << np.uint64(16)) | segment(x, b) << np.uint64(8) | np.uint64(code)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
 
 
+def split_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, fp -> key, fp: 4 rows each, one for each segment outside the key."""
+    rest = np.array([[i for i in range(2, SEGMENTS) if i not in pair] for pair in PAIRS], np.uint64)
+    for batch in batches:
+        key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+        k = (start_of(key) * 8).astype(np.uint64)
+        x = np.where(k == 0, fp, (fp << k) | (fp >> ((np.uint64(64) - k) & np.uint64(63))))
+        for i in range(WHOLE):
+            place = rest[(key >> 43) % len(PAIRS), i]
+            own = (key & ~np.int64(7 << 40)) | np.int64(i << 40) | ((x >> (np.uint64(56) - np.uint64(8) * place)) & np.uint64(0xFF)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch["fp"]], ["key", "fp"])
+
+
 def chained(x: np.ndarray, y: np.ndarray, start: np.ndarray | int) -> np.ndarray:
     """Whether x and y keep every budget along the chain from `start`; the last budget is the full Hamming check."""
     d = x ^ y
@@ -117,11 +143,11 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not at.size:
             break
         a, b = f[at], f[at + d]
-        ok = chained(a, b, (k[at] >> 32) // len(PAIRS)) & (a != b)
+        ok = chained(a, b, start_of(k[at])) & (a != b)
         found.append((a[ok], b[ok]))
     for i in np.flatnonzero(size > SHORT_RUN):
         run = slice(start[i], start[i] + size[i])
-        found += forest(np.unique(fps[run]), int(keys[start[i]] >> 32) // len(PAIRS))
+        found += forest(np.unique(fps[run]), int(start_of(keys[start[i]])))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
@@ -174,7 +200,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
+def dealt_keys(fps: DataFrame, hot_key: int) -> DataFrame:
+    """key, fp: the 24 keys of each fingerprint, those of more than hot_key fingerprints split."""
+    keys, kinds = fps.mapInArrow(keyed, "key long, fp long"), "key long, fp long"
+    hot = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select(F.col("key").alias("hot")), "hot")
+    many = hot.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return keys
+    own = keys.join(F.broadcast(hot) if many <= BROADCAST_ROWS else hot, F.col("key") == F.col("hot"), "left")
+    return own.where("hot IS NULL").select("key", "fp").unionByName(own.where("hot IS NOT NULL").select("key", "fp").mapInArrow(split_keys, kinds))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
     """doc_id, k1 and k2 (see row_key), fp, root (the smallest fingerprint of the component, both as signed longs), component_id.
 
     A row for each row of df. Texts without words, null included, share fingerprint 0. Repeated rows are all in one
@@ -183,7 +220,7 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     """
     marks = staged(df.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text_or_empty(text)).alias("key"), F.arrow_udf(fingerprints, "long")(F.col(text)).alias("fp")).select("doc_id", "key.*", "fp"), "fingerprints")
     classes = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    keys = classes.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    keys = dealt_keys(classes.select("fp"), hot_key).repartition("key").sortWithinPartitions("key", "fp")
     roots = components(keys.mapInArrow(links_of_runs, "u long, v long"))
     member = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -194,10 +231,17 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def without_near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row of df for each component, all columns: that of the smallest doc_id (ties: of the smallest key; no id: last)."""
+    """One row of df for each component, all columns: that of the smallest doc_id (no id: last).
+
+    Ties: of rows with one id, that of the smallest hash of id and text; of rows with one id and text, that whose other
+    columns have the smallest hash. Null and empty texts, and all without words, are one component with what links to
+    fingerprint 0. Of repeated rows one stays. Other columns keep their values, whatever their names. An empty table
+    stays empty.
+    """
     found = near_duplicates(df, text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("best"))
-    best = best.select(F.col("best.k1").alias("__b1"), F.col("best.k2").alias("__b2"))
-    rows = df.withColumn("__key", row_key(text_or_empty(text))).withColumns({"__k1": F.col("__key.k1"), "__k2": F.col("__key.k2")})
-    kept = rows.join(best, (F.col("__k1") == F.col("__b1")) & (F.col("__k2") == F.col("__b2"))).dropDuplicates(["__k1", "__k2"])
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    best = best.select(F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    others = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    rows = df.select(as_row(df), row_key(text_or_empty(text)).alias("key"), others.alias("others"))
+    rows = rows.join(best, (F.col("key.k1") == F.col("b1")) & (F.col("key.k2") == F.col("b2")))
+    return rows.groupBy("b1", "b2").agg(F.min_by("row", "others").alias("row")).select(back(df))
