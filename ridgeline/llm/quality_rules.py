@@ -2,7 +2,7 @@
 
 One suffix array serves all documents of an Arrow batch: the first rank of a word holds its document, so that no
 suffixes of two documents are ever equal. Ranks are refined by doubling; groups of one suffix take no further part.
-Longest common prefixes of neighbours come from the ranks kept at each doubling. A position whose longer common
+Longest common prefixes of neighbours come from Kasai's algorithm, run in lanes. A position whose longer common
 prefix with a neighbour has l words starts a repeated substring of l words; the union of these spans is the text
 that maximal repeats cover.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import as_row, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -29,22 +29,24 @@ MAX_LONGEST = 100
 MAX_LONGEST_SHARE = 0.2
 #: Words worked on at once; a longer document is worked on alone.
 CHUNK_WORDS = 300_000
+#: Positions of the suffix array that prefixes are found for side by side.
+LANES = 8192
 #: Bytes of texts taken from a batch at once.
 SLICE = 2_000_000
 
 RULES_TYPE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def refine(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array, and for k = 1, 2, 4, ... the ranks by the first k words. end: where each position's document ends."""
-    n = first.size
+def sorted_suffixes(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks and the suffix array of words (numbers). end: where each position's document ends."""
+    n, k = first.size, 1
     order = np.argsort(first, kind="stable")
     ordered = first[order]
     start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    size = np.diff(np.r_[start, n])
     rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(start, np.diff(np.r_[start, n]))
-    levels, k = [(1, rank)], 1
-    active = order[np.repeat(np.diff(np.r_[start, n]) > 1, np.diff(np.r_[start, n]))]
+    rank[order] = np.repeat(start, size)
+    active = order[np.repeat(size > 1, size)]
     while active.size:
         after = active + k
         second = np.where(after < end[active], rank[np.minimum(after, n - 1)] + 1, 0)
@@ -55,34 +57,41 @@ def refine(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[i
         at = np.arange(active.size)
         slot = old + at - np.maximum.accumulate(np.where(new_group, at, 0))
         begins = new_group | np.r_[True, second[1:] != second[:-1]]
-        rank = rank.copy()
         rank[active] = slot[np.maximum.accumulate(np.where(begins, at, 0))]
         k *= 2
-        levels.append((k, rank))
         size = np.diff(np.r_[np.flatnonzero(begins), active.size])
         active = active[np.repeat(size > 1, size)]
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
-    return suffixes, levels
-
-
-def neighbour_prefixes(suffixes: np.ndarray, levels: list[tuple[int, np.ndarray]], end: np.ndarray) -> np.ndarray:
-    """For each position, the longer of its common prefixes with the suffixes before and after it."""
-    n = suffixes.size
-    longest = np.zeros(n, np.int64)
-    if n < 2:
-        return longest
-    a, b = suffixes[:-1], suffixes[1:]
-    same = levels[0][1][a] == levels[0][1][b]
-    a, b = a[same], b[same]
-    common = np.zeros(a.size, np.int64)
-    for k, rank in reversed(levels):
-        x, y = a + common, b + common
-        inside = (x + k <= end[a]) & (y + k <= end[b])
-        common += np.where(inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]), k, 0)
-    np.maximum.at(longest, a, common)
-    np.maximum.at(longest, b, common)
-    return longest
+    return rank, suffixes
+
+
+def neighbour_prefixes(first: np.ndarray, rank: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """For each position, the longer of its common prefixes with the suffixes before and after it.
+
+    Words of different documents are never equal, so no prefix reaches over a document's end. A position's prefix is
+    at least its predecessor's less one (Kasai); lanes of positions are worked on side by side.
+    """
+    n = first.size
+    common = np.zeros(n + 1, np.int64)  # by rank, with the suffix before
+    padded = np.r_[first, -1]
+    step = -(-n // LANES) if n else 0
+    at = np.arange(0, n, max(step, 1))
+    held = np.zeros(at.size, np.int64)
+    for _ in range(step):
+        live = at < n
+        at, held = at[live], np.maximum(held[live] - 1, 0)
+        before = suffixes[np.maximum(rank[at] - 1, 0)]
+        held[rank[at] == 0] = 0
+        active = np.flatnonzero(rank[at] > 0)
+        while active.size:
+            # At the last word's end one of the two, never both, reads the number that no word has.
+            x, y = at[active] + held[active], before[active] + held[active]
+            active = active[padded[np.minimum(x, n)] == padded[np.minimum(y, n)]]
+            held[active] += 1
+        common[rank[at]] = held
+        at = at + 1
+    return np.maximum(common[:-1], common[1:])[rank]
 
 
 def covered(longest: np.ndarray, least: int, length: np.ndarray | int) -> np.ndarray:
@@ -106,8 +115,8 @@ def repetition(documents: list[list[str]]) -> np.ndarray:
     word = np.fromiter((ids.setdefault(w, len(ids)) for words in documents for w in words), np.int64, total)
     doc = np.repeat(np.arange(len(documents)), sizes)
     end = np.repeat(np.cumsum(sizes), sizes)
-    suffixes, levels = refine(doc * len(ids) + word, end)
-    longest = neighbour_prefixes(suffixes, levels, end)
+    first = doc * len(ids) + word
+    longest = neighbour_prefixes(first, *sorted_suffixes(first, end))
     out[:, 0] = np.bincount(doc, covered(longest, 3, 3), len(documents))
     out[:, 1] = np.bincount(doc, covered(longest, MIN_REPEAT, longest), len(documents))
     np.maximum.at(out[:, 2], doc, longest)
@@ -141,7 +150,7 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of RULES_TYPE, one task per input split, no shuffle.
 
     Null and empty texts have no words, so all counts are 0 and kept is false. Repeated rows each get the same
-    columns. Columns of df with these names are replaced; all others stay. An empty table stays empty.
+    columns. Columns of df with these names are replaced, at the end; all others stay. An empty table stays empty.
     """
 
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -153,6 +162,6 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
 
     judged = F.arrow_udf(judge, RULES_TYPE)
     names = [x.split(" ")[0] for x in RULES_TYPE.split(", ")]
-    out = df.withColumn("__rules", judged(F.col(text)))
-    return out.withColumns({name: F.col(f"__rules.{name}") for name in names}).drop("__rules")
+    out = df.select(as_row(df), judged(F.col(text)).alias("rules"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in names], *[F.col(f"rules.{name}").alias(name) for name in names])
 
