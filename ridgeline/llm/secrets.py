@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged, text_or_empty
+from .common import BROADCAST_ROWS, as_row, back, staged, text_or_empty
 from .spans import counted, listed, with_matches
 
 KINDS = ["assign", "access", "hex", "weak", "id", "endpoint"]
@@ -111,18 +111,25 @@ def merged(spans: Column) -> Column:
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with MARK in its texts for each run of secrets, and n_chars, if there is such a column, to match. Rows without secrets stay as they are."""
-    found = staged(credentials(df, text).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).agg(F.first("spans").alias("__spans")), "spans")
-    if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+    """df with MARK in its texts for each run of secrets, and n_chars, if there is such a column, to match.
+
+    Rows without secrets stay as they are, those of null and empty texts among them. Repeated rows are changed alike;
+    rows with one id, or none, are told apart by their texts. Spans that overlap or touch make one run. Other columns
+    keep their values, whatever their names. An empty table stays empty.
+    """
+    found = credentials(df, text).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("t")).agg(F.first("spans").alias("spans"))
+    found = staged(found.select("i", "t", merged(F.col("spans")).alias("runs")), "runs")
+    if (found.agg(F.sum(F.size("runs") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = df.join(found, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("doc_id", text_or_empty(text)) == F.col("__t")), "left")
-    rows = rows.withColumn("__runs", merged(F.col("__spans")))
+    rows = df.select(as_row(df), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", text_or_empty(text)).alias("own_key"))
+    rows = rows.join(found, F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_key") == F.col("t")), "left")
     # The texts between runs: from one's end (0 at first) to the next one's start (the end at last).
-    lows = F.concat(F.array(F.lit(0).cast("long")), F.transform("__runs", lambda x: x["end"]))
-    highs = F.concat(F.transform("__runs", lambda x: x["start"]), F.array(F.char_length(text).cast("long")))
-    between = F.zip_with(lows, highs, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
-    changed = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(between, MARK))
-    rows = rows.withColumn(text, changed)
+    said = F.col("row").getField(text)
+    lows = F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda x: x["end"]))
+    highs = F.concat(F.transform("runs", lambda x: x["start"]), F.array(F.char_length(said).cast("long")))
+    between = F.zip_with(lows, highs, lambda a, b: F.substring(said, (a + 1).cast("int"), (b - a).cast("int")))
+    rows = rows.withColumn("changed", F.when(F.col("runs").isNotNull(), F.array_join(between, MARK)))
+    new = {text: F.coalesce("changed", said)}
     if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+        new["n_chars"] = F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.char_length("changed").cast("long"))
+    return rows.select(back(df, **new))
