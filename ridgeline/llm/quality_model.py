@@ -121,7 +121,12 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fits on at most sample_rows labelled documents outside the held-out quarter, whichever order they come in."""
+    """Fits on at most sample_rows labelled documents outside the held-out quarter, whichever order they come in.
+
+    Labels that are null or not 0 or 1, a null doc_id, and labels without a document don't count. Of several labels of
+    one id the smallest counts; repeated documents of one id count each, and null texts as empty ones. Other columns are
+    not read. Without rows, or with labels of one kind only, the model is a constant.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT_REMAINDER))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "quality", "text")
