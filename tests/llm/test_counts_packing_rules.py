@@ -10,7 +10,7 @@ import pytest
 from public_tokenizers import path
 
 from ridgeline.llm.packing import Encoder, packed, served, tree_paths
-from ridgeline.llm.quality_rules import WORD, quality_rules, rules_of
+from ridgeline.llm.quality_rules import WORD, quality_rules, repetition, rules_of
 from ridgeline.llm.token_counts import Counts, load, token_counts
 
 ODDS = ["", " ", "a", "Über", "naïve's", "é", "é", "́", "İ", "Σας ΣΑΣ", "don't  stop", "\n\n", "\t", "\r\n", " \n ", "\x1c", "\x85", " ", " ", "　", "​", "﻿", "<|endoftext|>", " <|endoftext|>", "<|startoftext|>", "12345", "x1y2", "...", "🙂👍🏽", "中文字", "'LL", "\x00", "ß", "ﬁ", "#*$"]
@@ -163,3 +163,76 @@ def test_rules_lines_symbols_and_table(spark):
     assert (got[0].n_dup_lines, got[0].n_symbols, got[0].n_words, got[0].word_chars) == (2, 2, 8, 9)
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and len(got) == 3
     assert quality_rules(df.limit(0)).count() == 0
+
+
+def round_robin(sources):
+    """Literal deficit round-robin, one token at a time, over a tree of queues: the sources served, in order."""
+
+    def tree(low, high):
+        if high - low == 1:
+            return {"left": None, "rest": sources[low][1], "name": low}
+        middle = (low + high) // 2
+        a, b = tree(low, middle), tree(middle, high)
+        weight, weights = sum(x[2] for x in sources[low:middle]), sum(x[2] for x in sources[low:high])
+        if not weights:
+            weight, weights = a["rest"], a["rest"] + b["rest"]
+        return {"left": a, "right": b, "rest": a["rest"] + b["rest"], "quantum": weight, "round": weights, "deficit": 0}
+
+    def serve(node):
+        node["rest"] -= 1
+        if node["left"] is None:
+            return node["name"]
+        node["deficit"] += node["quantum"]
+        turn = "left" if node["deficit"] >= node["round"] else "right"
+        if turn == "left":
+            node["deficit"] -= node["round"]
+        if not node[turn]["rest"]:
+            turn = "right" if turn == "left" else "left"
+        return serve(node[turn])
+
+    root = tree(0, len(sources))
+    return [serve(root) for _ in range(root["rest"])]
+
+
+def test_the_closed_form_is_deficit_round_robin():
+    r = random.Random(4)
+    for _ in range(60):
+        sources = [(str(i), r.choice([1, 2, 30, 300]), r.choice([0, 1, 5, 100])) for i in range(r.randint(1, 9))]
+        paths, so_far = tree_paths(sources), [0] * len(sources)
+        for n, of in enumerate(round_robin(sources), 1):
+            so_far[of] += 1
+            assert [served(n, p)[1] for p in paths] == so_far
+
+
+def test_ids_of_32_bits(spark, tmp_path):
+    from tokenizers import AddedToken
+
+    tokenizer = load(path("word_bpe_49k.json"))
+    tokenizer.add_tokens([AddedToken(f"zq{i}", normalized=False) for i in range(20_000)])
+    tokenizer.save(large := str(tmp_path / "large.json"))
+    texts = [None, "some words zq19999, and zq7 zq18000", "plain words here. " * 50]
+    got = packed(spark.createDataFrame(rows(texts), SCHEMA).repartition(2), large, window=64).collect()
+    ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert max(map(max, ids)) >= 1 << 16
+    assert sum(p.length for p in got) == sum(map(len, ids))
+    assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) for p in got)
+    narrow = packed(spark.createDataFrame(rows(["a"]), SCHEMA), path("word_bpe_49k.json"), end_id=70_000).first()
+    assert narrow.ids_crc32 == zlib.crc32(np.array([*load(path("word_bpe_49k.json")).encode("a", add_special_tokens=False).ids, 70_000], "<u4").tobytes())
+
+
+def test_very_long_texts(spark):
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 5000)}" for _ in range(150_000)]
+    texts = [" ".join(words), " ".join(words[:60_000] * 2), "same " * 100_000, "x" * 400_000]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    tokenizer = load(path("byte_bpe_50k.json"))
+    assert [x.n_tokens for x in token_counts(df, path("byte_bpe_50k.json")).orderBy("doc_id").collect()] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    held(packed(df, path("word_bpe_49k.json")).collect(), texts, 4096)
+    got = quality_rules(df).orderBy("doc_id").collect()
+    assert [(x.n_words, x.longest_repeat) for x in got] == [(150_000, got[0].longest_repeat), (120_000, 60_000), (100_000, 99_999), (1, 0)]
+    assert got[1].covered_words == 120_000 and got[2].n_repeat_words == 100_000 and got[0].longest_repeat < 8
+
+
+def test_prefixes_stop_at_the_ends_of_documents():
+    same = ["a", "b", "a", "b", "a"]
+    assert repetition([same, same, [], ["a"], ["a", "a"]]).tolist() == [[5, 0, 3], [5, 0, 3], [0, 0, 0], [0, 0, 0], [0, 0, 1]]

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from ridgeline.llm import simhash, suffix_dedup
-from ridgeline.llm.simhash import fingerprint, near_duplicates
+from ridgeline.llm.simhash import components, dealt_keys, fingerprint, links_of_runs, near_duplicates
 from ridgeline.llm.suffix_dedup import Shard, without_repeats
 
 DOCS = "doc_id long, text string"
@@ -97,6 +97,44 @@ def test_no_link_is_lost_in_dense_and_split_runs():
     assert {f: find(f) for f in root} == brute_components(fps.tolist())
 
 
+def test_split_keys_lose_no_links(spark):
+    r = random.Random(14)
+    base = [r.getrandbits(64) for _ in range(3)]
+    fps = set(base)
+    for _ in range(700):
+        x = r.choice(base)
+        for _ in range(r.randint(0, 9)):
+            x ^= 1 << r.randrange(64)
+        fps.add(x)
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = brute_components(fps)
+    for hot_key in (5, 60, 2_000):
+        keys = dealt_keys(df, hot_key)
+        found = components(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(links_of_runs, "u long, v long")).collect()
+        root = {x: x for x in signed} | {x.node: x.root for x in found}
+        groups, wanted = {}, {}
+        for x in signed:
+            groups.setdefault(root[x], set()).add(x % 2**64)
+            wanted.setdefault(want[x % 2**64], set()).add(x % 2**64)
+        assert set(map(frozenset, groups.values())) == set(map(frozenset, wanted.values())) and 3 <= len(groups) < len(fps)
+    assert keys.count() == 24 * len(fps) < dealt_keys(df, 5).count()
+
+
+def test_very_long_texts(spark):
+    r = random.Random(15)
+    words = [f"w{r.randint(0, 9000)}" for _ in range(150_000)]
+    texts = [" ".join(words), " ".join(words) + " more", "same " * 200_000, " ".join(words[40_000:90_000]), "x" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {x.doc_id: (x.fp % 2**64, x.component_id) for x in near_duplicates(df).collect()}
+    assert [got[i][0] for i in range(5)] == list(map(brute_fingerprint, texts))
+    root = brute_components({x for x, _ in got.values()})
+    assert [got[i][1] for i in range(5)] == [min(j for j in range(5) if root[got[j][0]] == root[got[i][0]]) for i in range(5)]
+    kept = {x.doc_id: x for x in without_repeats(df).collect()}
+    assert [kept[i].n_removed for i in (1, 2, 3, 4)] == [len(texts[0]), len(texts[2]), len(texts[3]), len(texts[4])]
+    assert [kept[i].n_passage_words for i in range(5)] == [150_000, 150_000, 200_000, 50_000, 0]
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = {}
