@@ -7,7 +7,7 @@ hashes. So pieces are dealt to shards by that hash, and strings need not be comp
 occurs once are dropped, equal pieces are counted and one of each goes on, and only where different pieces share a
 hash their bytes are fetched. A shard's suffix array comes from Larsson-Sadakane refinement, its common prefixes from
 Kasai's algorithm, run in lanes. A string is repeated if the longer common prefix with its neighbours in the array
-covers it, so strings of any length, such as those of 50 words, are judged alike.
+covers it. The arrays of passages are over words, each one number (its 64-bit hash), not over their bytes.
 
 A passage in very many texts gives very many different pieces with one hash, one or two for each text, most strings of
 which occur once. Of such frequent hashes only the runs of strings go on whose own hash occurs twice; they are mostly
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,37 +141,29 @@ def piece_rows(length: int, passage: int):
     return cut
 
 
-def strings(part: bytes, n: int, words: bool, length: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the n strings of a piece's bytes begin, and their bytes. Words are all followed by a space there."""
-    if not words:
-        return np.arange(n), np.full(n, length)
-    ends = np.flatnonzero(np.frombuffer(part, np.uint8) == 32) + 1
-    starts = np.r_[0, ends[:-1]][:n]
-    return starts, ends[passage - 1 :] - starts
-
-
 class Shard:
-    """The suffix array of pieces put together, and what it says about their strings; found: those of each, see strings()."""
-
-    def __init__(self, parts: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]):
-        text = SEPARATOR.join(parts) + SEPARATOR
-        self.n = len(text)
-        self.sizes = np.concatenate([sizes for _, sizes in found])
-        self.most = int(self.sizes.max())
-        padded = np.frombuffer(text + b"\0" * 16, np.uint8)
-        self.words = np.ndarray(padded.size - 7, ">u8", padded, 0, (1,)).astype(np.uint64)
-        begins = np.cumsum([0, *[len(x) + 1 for x in parts[:-1]]])
-        self.starts = np.concatenate([a + starts for a, (starts, _) in zip(begins.tolist(), found)])
-        self.of = np.repeat(np.arange(len(parts)), [starts.size for starts, _ in found])
+    """The suffix array of pieces put together, and what it says about strings of `length` units, bytes or hashes of words."""
+
+    def __init__(self, parts: list[bytes], counts: list[int], length: int, words: bool = False):
+        self.length = length
+        # A unit's key holds `reach` units: a byte and the seven after it, or a word alone.
+        self.reach, width, separator = (1, 8, b"\xff" * 8) if words else (8, 1, SEPARATOR)
+        text = separator.join(parts) + separator
+        self.n = len(text) // width
+        padded = text + b"\0" * (width * length + 16)
+        self.keys = (np.frombuffer(padded, "<u8") if words else np.ndarray(len(padded) - 7, ">u8", padded, 0, (1,))).astype(np.uint64)
+        begins = np.cumsum([0, *[len(x) // width + 1 for x in parts[:-1]]])
+        self.starts = np.concatenate([np.arange(a, a + n) for a, n in zip(begins.tolist(), counts)])
+        self.of = np.repeat(np.arange(len(parts)), counts)
         self.rank, self.suffixes = self.sorted()
         common = self.prefixes()
-        self.repeated = np.maximum(common, np.r_[common[1:], 0])[self.rank[self.starts]] >= self.sizes
+        self.repeated = (np.maximum(common, np.r_[common[1:], 0]) >= length)[self.rank[self.starts]]
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks by the first 8 bytes, then doubled for the groups that are not yet single (Larsson and Sadakane)."""
-        n, k = self.n, 8
-        order = np.argsort(self.words[:n], kind="stable")
-        first = self.words[order]
+        """Ranks by the first 8 bytes (the first word), then doubled for the groups that are not yet single (Larsson and Sadakane)."""
+        n, k = self.n, self.reach
+        order = np.argsort(self.keys[:n], kind="stable")
+        first = self.keys[order]
         start = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
         size = np.diff(np.r_[start, n])
         rank = np.empty(n, np.int64)
@@ -193,27 +186,26 @@ class Shard:
         suffixes[rank] = np.arange(n)
         return rank, suffixes
 
-    def extended(self, i: np.ndarray, other: np.ndarray, j: np.ndarray, common: np.ndarray, most: np.ndarray | int) -> np.ndarray:
-        """Common prefixes, up to `most`, of suffixes i here and j of other words, of which `common` bytes are known to be equal."""
+    def extended(self, i: np.ndarray, other: np.ndarray, j: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Common prefixes, up to length, of suffixes i here and j of other keys, of which `common` units are known to be equal."""
         common = common.copy()
-        most = np.broadcast_to(most, common.shape)
-        active = np.flatnonzero(common < most)
+        active = np.flatnonzero(common < self.length)
         while active.size:
-            x = self.words[np.minimum(i[active] + common[active], self.words.size - 1)] ^ other[np.minimum(j[active] + common[active], other.size - 1)]
+            x = self.keys[np.minimum(i[active] + common[active], self.keys.size - 1)] ^ other[np.minimum(j[active] + common[active], other.size - 1)]
             same = x == 0
             lead = np.zeros(x.size, np.int64)
-            for half in (32, 16, 8):
+            for half in (32, 16, 8) if self.reach > 1 else ():
                 upper = x >> np.uint64(half)
                 zero = upper == 0
                 lead += zero * (half // 8)
                 x = np.where(zero, x, upper)
-            common[active] += np.where(same, 8, lead)
+            common[active] += np.where(same, self.reach, lead)
             active = active[same]
-            active = active[common[active] < most[active]]
-        return np.minimum(common, most)
+            active = active[common[active] < self.length]
+        return np.minimum(common, self.length)
 
     def prefixes(self) -> np.ndarray:
-        """By rank, the common prefix with the suffix before, up to the longest string (Kasai): a position's is at least its predecessor's less one."""
+        """By rank, the common prefix with the suffix before, up to length (Kasai): a position's is at least its predecessor's less one."""
         out = np.zeros(self.n, np.int64)
         step = -(-self.n // LANES)
         at = np.arange(0, self.n, step)
@@ -223,7 +215,7 @@ class Shard:
             at, common = at[live], np.maximum(common[live] - 1, 0)
             rank = self.rank[at]
             before = self.suffixes[np.maximum(rank - 1, 0)]
-            common = np.where(rank > 0, self.extended(at, self.words, before, common, self.most), 0)
+            common = np.where(rank > 0, self.extended(at, self.keys, before, common), 0)
             limit = np.minimum(self.n - at, self.n - before)
             common = np.minimum(common, limit)
             out[rank] = common
@@ -233,19 +225,19 @@ class Shard:
     def merge(self, other: Shard) -> None:
         """Marks the strings here that occur in the other shard, by binary search in its suffix array."""
         left = np.flatnonzero(~self.repeated)
-        i, size = self.starts[left], self.sizes[left]
+        i = self.starts[left]
         low, high = np.zeros(i.size, np.int64), np.full(i.size, other.n, np.int64)
         none = np.zeros(i.size, np.int64)
         while (open_ := low < high).any():
             middle = (low + high) // 2
             j = other.suffixes[np.minimum(middle, other.n - 1)]
-            common = self.extended(i, other.words, j, none, size)
-            theirs = other.words[np.minimum(j + common, other.words.size - 1)]
-            less = (common < size) & (theirs < self.words[np.minimum(i + common, self.words.size - 1)])
+            common = self.extended(i, other.keys, j, none)
+            theirs, mine = other.keys[np.minimum(j + common, other.keys.size - 1)], self.keys[np.minimum(i + common, self.keys.size - 1)]
+            less = (common < self.length) & (theirs < mine)
             low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
         found = low < other.n
         j = other.suffixes[np.minimum(low, other.n - 1)]
-        self.repeated[left] |= found & (self.extended(i, other.words, j, none, size) >= size)
+        self.repeated[left] |= found & (self.extended(i, other.keys, j, none) >= self.length)
 
 
 def repeated_spans(batches: Iterator[pa.RecordBatch], length: int, passage: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -256,7 +248,8 @@ def repeated_spans(batches: Iterator[pa.RecordBatch], length: int, passage: int,
     hot: list[tuple[list, Shard]] = []
 
     def shard_of(rows: list) -> Shard:
-        return Shard([r[3] for r in rows], [strings(r[3], r[2], r[0] < 0, length, passage) for r in rows])
+        words = rows[0][0] < 0
+        return Shard([r[3] for r in rows], [r[2] for r in rows], passage if words else length, words)
 
     def spans(rows: list, shard: Shard) -> pa.RecordBatch:
         counts = np.array([r[2] for r in rows], np.int64)
@@ -321,7 +314,7 @@ def string_rows(length: int, passage: int):
         if not words:
             return string_keys(byte_grams(np.frombuffer(part, np.uint8), gram_size(length)), gram_size(length), length)
         size = min(GRAM_WORDS, 1 << passage.bit_length() - 1)
-        return string_keys(doubled(word_hashes(part.split()), 1, size), size, passage) ^ np.uint64(1 << 63)
+        return string_keys(doubled(np.frombuffer(part, "<u8"), 1, size), size, passage) ^ np.uint64(1 << 63)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,18 +330,18 @@ def string_rows(length: int, passage: int):
 
 
 def cut_rows(length: int, passage: int):
-    """h, digest, n, bytes, strings -> h, digest, part (a hash), low, n, bytes: the runs of neighbouring strings."""
+    """h, digest, bytes, strings -> h, digest, part (a hash), low, n, bytes: the runs of neighbouring strings."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([*((x, pa.int64()) for x in ("h", "digest", "part", "low", "n")), ("bytes", pa.binary())])
         for batch in batches:
             rows = []
-            for h, digest, n, text, kept in zip(*(batch[x].to_pylist() for x in ("h", "digest", "n", "bytes", "strings"))):
-                starts, sizes = strings(text, n, h < 0, length, passage)
-                at = np.array(sorted(kept), np.int64)
+            for h, digest, text, strings in zip(*(batch[x].to_pylist() for x in ("h", "digest", "bytes", "strings"))):
+                width, size = (8, passage) if h < 0 else (1, length)
+                at = np.array(sorted(strings), np.int64)
                 edge = np.flatnonzero(np.diff(at) != 1)
                 for low, high in zip(at[np.r_[0, edge + 1]].tolist(), at[np.r_[edge, at.size - 1]].tolist()):
-                    part = text[starts[low] : starts[high] + sizes[high]]
+                    part = text[low * width : (high + size) * width]
                     rows.append((h, digest, int(np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64)), low, high + 1 - low, part))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k.type) for x, k in zip(zip(*rows), kinds)], schema=kinds) if rows else pa.RecordBatch.from_pylist([], kinds)
 
@@ -366,7 +359,7 @@ def frequent_spans(pieces_: DataFrame, length: int, passage: int, shard_bytes: i
     strings = pieces_.mapInArrow(string_rows(length, passage), "h long, digest long, i long, w long")
     twice = staged(strings.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "strings")
     kept = strings.join(twice, "w").groupBy("h", "digest").agg(F.collect_list("i").alias("strings"))
-    parts = pieces_.join(kept, ["h", "digest"]).select("h", "digest", "n", "bytes", "strings").mapInArrow(cut_rows(length, passage), "h long, digest long, part long, low long, n long, bytes binary")
+    parts = pieces_.join(kept, ["h", "digest"]).select("h", "digest", "bytes", "strings").mapInArrow(cut_rows(length, passage), "h long, digest long, part long, low long, n long, bytes binary")
     parts = staged(parts, "parts")
     kinds = staged(parts.groupBy("h", F.col("part").alias("digest")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("bytes").alias("bytes")), "kinds")
     single = kinds.where("c = 1").select("h", "digest").join(spans_of(kinds, length, passage, shard_bytes), ["h", "digest"])
@@ -376,16 +369,16 @@ def frequent_spans(pieces_: DataFrame, length: int, passage: int, shard_bytes: i
 
 
 def sliced(length: int, passage: int):
-    """text, wanted (at, n, h, digest, frequent) -> h, digest, frequent, n, bytes."""
+    """text, wanted (at, n, h, digest, frequent) -> h, digest, frequent, n, bytes (of words: their hashes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for text, wanted in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["wanted"].to_pylist()):
-                words = text.split() if any(x["h"] < 0 for x in wanted) else []
+                words = word_hashes(text.split()) if any(x["h"] < 0 for x in wanted) else np.empty(0, np.uint64)
                 for x in wanted:
                     at, n = x["at"], x["n"]
-                    part = text[at : at + n + length - 1] if x["h"] >= 0 else b"".join(w + b" " for w in words[at : at + n + passage - 1])
+                    part = text[at : at + n + length - 1] if x["h"] >= 0 else words[at : at + n + passage - 1].tobytes()
                     for column, value in zip(rows, (x["h"], x["digest"], x["frequent"], n, part), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["h", "digest", "frequent", "n", "bytes"])
@@ -393,15 +386,18 @@ def sliced(length: int, passage: int):
     return cut
 
 
-def united(spans: list[dict]) -> list[tuple[int, int]]:
-    """Spans (low, high) put together where they overlap or touch, in order."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted((x["low"], x["high"]) for x in spans):
-        if out and out[-1][1] >= low:
-            out[-1] = out[-1][0], max(out[-1][1], high)
-        else:
-            out.append((low, high))
-    return out
+def united(spans: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Of lists of spans (low, high, words): list, words, low and high of what they make put together, where they overlap or touch; in order."""
+    flat = spans.flatten()
+    low, high, words = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("low", "high", "words"))
+    group = 2 * np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy()) + words
+    order = np.lexsort((low, group))
+    low, high, group = low[order], high[order], group[order]
+    apart = int(high.max(initial=0)) + 1
+    upto = np.maximum.accumulate(high + group * apart) - group * apart
+    begins = np.r_[True, (group[1:] != group[:-1]) | (low[1:] > upto[:-1])][: low.size]
+    at = np.flatnonzero(begins)
+    return group[at] // 2, group[at] % 2 == 1, low[at], upto[np.r_[at[1:], low.size] - 1] if at.size else upto
 
 
 #: What kept_rows() makes of a text and its spans.
@@ -410,17 +406,24 @@ KEPT_TYPE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binar
 
 def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, spans (low, high, words) -> KEPT_TYPE."""
-    span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), span)
     for batch in batches:
-        columns: list[list] = [[] for _ in kinds]
-        for text, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist()):
-            gone, passages = (united([x for x in spans or () if x["words"] == words]) for words in (False, True))
-            left = b"".join(text[a:b] for a, b in zip([0, *[high for _, high in gone]], [*[low for low, _ in gone], len(text)]))
-            row = len(text), len(text) - len(left), len(gone), left, sum(b - a for a, b in passages), [{"low": a, "high": b} for a, b in passages]
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]], [x.split(" ")[0] for x in KEPT_TYPE.split(", ")])
+        texts = batch["text"].cast(pa.binary()).to_pylist()
+        of, words, low, high = united(batch["spans"])
+        gone = [x.tolist() for x in (of[~words], low[~words], high[~words])]
+        kept, at = [], 0
+        for i, text in enumerate(texts):
+            parts, end = [], 0
+            while at < len(gone[0]) and gone[0][at] == i:
+                parts.append(text[end : gone[1][at]])
+                end, at = gone[2][at], at + 1
+            kept.append(b"".join(parts) + text[end:] if parts else text)
+        n_bytes, left = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (texts, kept))
+        passages = pa.StructArray.from_arrays([pa.array(low[words]), pa.array(high[words])], ["low", "high"])
+        ends = np.r_[0, np.cumsum(np.bincount(of[words], minlength=len(texts)))].astype(np.int32)
+        columns = [n_bytes, n_bytes - left, np.bincount(of[~words], minlength=len(texts))]
+        covered = np.bincount(of[words], (high - low)[words], len(texts)).astype(np.int64)
+        columns = [*map(pa.array, columns), pa.array(kept, pa.binary()), pa.array(covered), pa.ListArray.from_arrays(pa.array(ends), passages)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], [x.split(" ")[0] for x in KEPT_TYPE.split(", ")])
 
 
 def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD, frequent: int = FREQUENT, passage: int = PASSAGE) -> DataFrame:

@@ -229,8 +229,7 @@ def test_shards_merge_by_binary_search():
     passage = bytes(r.choice(b"ab") for _ in range(300))
     parts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 90))) + passage[r.randint(0, 60) : r.randint(150, 300)] for _ in range(40)]
     counts = [len(p) - 49 for p in parts]
-    found = [suffix_dedup.strings(p, n, False, 50, 1) for p, n in zip(parts, counts)]
-    shards = [Shard(parts[i : i + 10], found[i : i + 10]) for i in range(0, 40, 10)]
+    shards = [Shard(parts[i : i + 10], counts[i : i + 10], 50) for i in range(0, 40, 10)]
     for s in shards:
         for t in shards:
             if s is not t:
@@ -251,9 +250,9 @@ def test_a_hot_hash_is_split_wherever_it_begins(monkeypatch):
     sizes = []
 
     class Sized(Shard):
-        def __init__(self, parts, found):
+        def __init__(self, parts, counts, length, words):
             sizes.append(sum(map(len, parts)))
-            super().__init__(parts, found)
+            super().__init__(parts, counts, length, words)
 
     monkeypatch.setattr(suffix_dedup, "Shard", Sized)
     for before in ([], [1], [1, 1, 2, 3], [1] * 30):
