@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_or_not, staged
+from .common import importable, slices, small_or_not, staged
 from .token_counts import LONGEST_KEY, ODD, load
 
 #: Punctuation that may close a word, what letters the short way is not taken for, and the splitting pattern that it is right for.
@@ -272,6 +272,7 @@ def packed(df: DataFrame, path: str, source: str = "source", text: str = "text",
     Other columns are not read, whatever their names. An empty table gives no pieces. Ids are computed once, written
     to the shared folder, and not shuffled; only sums by partition and source are.
     """
+    importable(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     kind = id_kind(path, end_id)
     ids = staged(rows.mapInArrow(encoded_rows(path, end_id, kind), "doc_id long, source string, part long, before long, ids binary"), "ids")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import importable
+
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
 HELD_OUT_REMAINDER = 2
@@ -127,6 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     one id the smallest counts; repeated documents of one id count each, and null texts as empty ones. Other columns are
     not read. Without rows, or with labels of one kind only, the model is a constant.
     """
+    importable(documents.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT_REMAINDER))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "quality", "text")
@@ -140,6 +143,7 @@ def scored(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     Null and empty texts get the score of a text without words. A null doc_id is not held out. Repeated rows get the
     same score. Columns of df with these names are replaced. An empty table stays empty.
     """
+    importable(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

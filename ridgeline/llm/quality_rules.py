@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, slices
+from .common import as_row, importable, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -160,6 +160,7 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
             rows = [row for piece in slices(texts, SLICE) for row in rules_of(piece.to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in fields], [name for name, _ in fields])
 
+    importable(df.sparkSession)
     judged = F.arrow_udf(judge, RULES_TYPE)
     names = [x.split(" ")[0] for x in RULES_TYPE.split(", ")]
     out = df.select(as_row(df), judged(F.col(text)).alias("rules"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, as_row, back, row_key, staged, text_or_empty
+from .common import BROADCAST_ROWS, as_row, back, importable, row_key, staged, text_or_empty
 
 SEED = 42
 SHINGLE = 3
@@ -218,6 +218,7 @@ def near_duplicates(df: DataFrame, text: str = "text", hot_key: int = HOT_KEY) -
     component. component_id is the smallest doc_id of the component, null if none of its rows has one. Other columns
     are not read, whatever their names. An empty table gives an empty one.
     """
+    importable(df.sparkSession)
     marks = staged(df.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text_or_empty(text)).alias("key"), F.arrow_udf(fingerprints, "long")(F.col(text)).alias("fp")).select("doc_id", "key.*", "fp"), "fingerprints")
     classes = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     keys = dealt_keys(classes.select("fp"), hot_key).repartition("key").sortWithinPartitions("key", "fp")

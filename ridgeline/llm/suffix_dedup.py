@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, text_or_empty
+from .common import importable, row_key, staged, text_or_empty
 
 LENGTH = 400
 #: Words of a passage, and of the substrings of passages that are hashed.
@@ -443,6 +443,7 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
     if passage < 1:
         raise ValueError("passage must be at least 1")
     least = min(length, 2 * passage - 1)
+    importable(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     docs = docs.select("doc_id", "text", row_key(F.col("text")).alias("key")).select("doc_id", "text", "key.*")
     long = docs.where(F.octet_length("text") >= least)

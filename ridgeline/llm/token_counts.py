@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import importable, slices
 
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python takes these for white space, the tokenizer's pattern doesn't: such texts are encoded whole.
@@ -117,6 +117,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512)
     Null and empty texts have 0 bytes and tokens. Repeated rows are counted each. Columns of df with these names are
     replaced. Special strings inside texts count as the library's default has it. An empty table stays empty.
     """
+    importable(df.sparkSession)
     frequent = df.sparkSession.sparkContext.broadcast(frequent_table(df, text, path))
     number = F.arrow_udf(counted(frequent, path), "long")
     out = df.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": number(F.col(text))})
