@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions.ranking import hashed_order, ranked
 from .graph import Graph
-from .plans.staging import staged
+from .plans.staging import importable, staged
 
 
 def scale_free_edges(n: int, m: int, seed: int) -> np.ndarray:
-    """Edges of one growing cluster: m nodes to begin with, then m edges from each new node, to different nodes by degree."""
+    """Edges of one growing cluster: m nodes to begin with, then m edges from each new node, to different nodes by degree.
+
+    A node is drawn by degree as the end of an edge drawn evenly; ends that lead to a node again are left out. So a new
+    node takes time in proportion to m, but for the first ones, which weigh all nodes.
+    """
     r = np.random.default_rng(seed)
     degree = np.zeros(n)
     edges: list[tuple[int, int]] = []
@@ -25,17 +29,29 @@ def scale_free_edges(n: int, m: int, seed: int) -> np.ndarray:
                 edges.append((v, other))
                 degree[v] += 1
                 degree[other] += 1
+    ends = np.empty(2 * len(edges) + 2 * m * max(n - m, 0), np.int64)
+    ends[: 2 * len(edges)] = np.array(edges, np.int64).ravel()
+    size, grown = 2 * len(edges), []
     for v in range(m, n):
-        weight = degree[:v] if v > 1 else np.ones(1)
-        # The m smallest of exponential times over weights are a draw without replacement.
-        with np.errstate(divide="ignore"):
-            times = r.exponential(size=v) / weight
-        chosen = np.argpartition(times, m - 1)[:m] if m < v else np.arange(v)
+        if v <= m:
+            chosen = np.arange(v)
+        elif v < 4 * m:
+            # The m smallest of exponential times over weights are a draw without replacement.
+            with np.errstate(divide="ignore"):
+                times = r.exponential(size=v) / (degree[:v] if v > 1 else np.ones(1))
+            chosen = np.argpartition(times, m - 1)[:m]
+        else:
+            drawn = ends[r.integers(size, size=2 * m)]
+            while (first := np.unique(drawn, return_index=True)[1]).size < m:
+                drawn = np.r_[drawn, ends[r.integers(size, size=2 * m)]]
+            chosen = drawn[np.sort(first)[:m]]
         forward = r.random(chosen.size) < 0.5
-        edges += [(v, u) if f else (u, v) for u, f in zip(chosen.tolist(), forward.tolist())]
+        grown.append(np.stack([np.where(forward, v, chosen), np.where(forward, chosen, v)], axis=1))
+        ends[size : size + 2 * chosen.size] = grown[-1].ravel()
+        size += 2 * chosen.size
         degree[chosen] += 1
         degree[v] += chosen.size
-    return np.array(edges, np.int64).reshape(-1, 2)
+    return np.concatenate([np.array(edges, np.int64).reshape(-1, 2), *grown])
 
 
 def dense_pairs(spark: SparkSession, base: int, n: int, density: float, seed: int) -> DataFrame:
@@ -100,6 +116,7 @@ class GraphBuilder:
         new = [(*self._new(n), n, m) for n, m in shapes]
         table = self.spark.createDataFrame(new, "cluster long, base long, n long, m long").repartition(min(64, len(new)), "cluster")
         seed = self.seed
+        importable(self.spark)
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -160,14 +177,23 @@ class GraphBuilder:
         self._check(len(counts) == n and n > 1, "a count is needed for each of several clusters")
         for i, k in enumerate(counts):
             self._check(0 <= k <= self._sizes[i] * self._sizes[(i + 1) % n] and (i, (i + 1) % n) not in self._counts, "no room for the links")
-        r = np.random.default_rng([self.seed, self._draws, 7])
         rows = []
         for i, k in enumerate(counts):
             j = (i + 1) % n
-            picked = r.choice(self._sizes[i] * self._sizes[j], size=k, replace=False)
-            rows.append(np.stack([self._bases[i] + picked // self._sizes[j], self._bases[j] + picked % self._sizes[j]], axis=1))
+            rows.append((i, k, self._bases[i], self._bases[j], self._sizes[i], self._sizes[j]))
             self._counts[i, j] = k
-        pairs = staged(self.spark.createDataFrame(pd.DataFrame(np.concatenate(rows), columns=["a", "b"]), "a long, b long"), "ring")
+        seed, draw = self.seed, self._draws
+
+        def links(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for x in pdf.itertuples():
+                picked = np.random.default_rng([seed, draw, 7, int(x.i)]).choice(x.n1 * x.n2, size=x.links, replace=False)
+                out.append(pd.DataFrame({"a": x.base1 + picked // x.n2, "b": x.base2 + picked % x.n2}))
+            return pd.concat(out)
+
+        importable(self.spark)
+        table = self.spark.createDataFrame(rows, "i long, links long, base1 long, base2 long, n1 long, n2 long")
+        pairs = staged(table.repartition(min(64, n), "i").groupBy("i").applyInPandas(links, "a long, b long"), "ring")
         self._draws += 1
         for i in range(n):
             low, high = self._bases[i], self._bases[i] + self._sizes[i]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .builder import GraphBuilder, dense_pairs, unused_pairs
@@ -14,9 +15,10 @@ from .operators.comparators import label_propagation, louvain, modularity
 from .operators.scoring import step, weights
 from .operators.segments import demoted, first_strong, kinds, runs
 from .plans import projections as P
+from .plans.clustering_sql import clustering_sql
 from .plans.staging import staged
 from .sources.dot import dot_lines as lines_of
-from .sources.dot import statements
+from .sources.dot import read_dot, statements, write_dot
 from .sources.entities import parsed, raw_edges
 
 FACTOR, THRESHOLD, MIN_SIZE = 0.01, -0.1, 10
@@ -45,6 +47,27 @@ TRADE = """
     p AS (SELECT eid, a.pos AS src, b.pos AS dst FROM e JOIN v a ON a.key = e.s JOIN v b ON b.key = e.d)"""
 
 
+def made_sql(edges: str) -> str:
+    """Tables e, v and p as above, of edges given as SQL of eid, s, d."""
+    return f"""
+    e AS ({edges}),
+    v AS (SELECT key, row_number() OVER (ORDER BY min(seen)) - 1 AS pos
+        FROM (SELECT s AS key, 2 * eid AS seen FROM e UNION ALL SELECT d, 2 * eid + 1 FROM e) GROUP BY key),
+    p AS (SELECT eid, a.pos AS src, b.pos AS dst FROM e JOIN v a ON a.key = e.s JOIN v b ON b.key = e.d)"""
+
+
+KNN_SQL = """x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nn AS (SELECT src, dst, r AS rank FROM (
+        SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS r
+        FROM x a JOIN x b ON a.vec_id <> b.vec_id) WHERE r <= 10),"""
+KNN = KNN_SQL + made_sql("SELECT row_number() OVER (ORDER BY src, rank) - 1 AS eid, CAST(src AS VARCHAR) AS s, CAST(dst AS VARCHAR) AS d FROM nn")
+#: A community of customers for each nation: each linked to some later ones of its nation, and by few edges to the next nation.
+NATIONS = made_sql("""
+        SELECT row_number() OVER (ORDER BY a, b) - 1 AS eid, 'c' || a AS s, 'c' || b AS d FROM (
+        WITH c AS (SELECT c_custkey AS k, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)
+        SELECT x.k AS a, y.k AS b FROM c x JOIN c y ON y.g = x.g AND y.i > x.i AND (y.i - x.i <= 3 OR y.i % (x.i + 2) = 0)
+        UNION ALL SELECT x.k, y.k FROM c x JOIN c y ON y.g = (x.g + 1) % 25 AND x.i = y.i AND x.i % 9 = 0)""")
+
+
 def steps_sql(n: int) -> str:
     """Tables t0 to tn (vid, pos; from t1 on weight, lw): the trade graph's vertices after each step."""
     out = "t0 AS (SELECT pos AS vid, pos FROM v)"
@@ -385,16 +408,134 @@ def cluster_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjusted_rand_index(found.join(planted, "key"), "cluster_id", "cluster")
 
 
-@query()
+@query(clustering_sql(TRADE, 0.01, 5, 0.1, 10))
 def cluster_full_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.trade_graph(spark, sf_dir).cluster(0.01, 5, 0.1, 10).get_clusters().select("cluster_id", "pos", "key")
 
 
-@query()
+@query(clustering_sql(KNN, 0.1, 5, 0.25, 10))
 def cluster_full_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.knn_graph(spark, sf_dir).cluster(0.1, 5, 0.25, 10).get_clusters().select("cluster_id", "pos", "key")
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> Graph:
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    c = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"), rank.alias("i"))
+    x, y = (c.select(*[F.col(n).alias(f"{n}{side}") for n in "kgi"]) for side in "xy")
+    inner = x.join(y, (F.col("gx") == F.col("gy")) & (F.col("iy") > F.col("ix")) & ((F.col("iy") - F.col("ix") <= 3) | (F.col("iy") % (F.col("ix") + 2) == 0)))
+    outer = x.join(y, (F.col("gy") == (F.col("gx") + 1) % 25) & (F.col("ix") == F.col("iy"))).where("ix % 9 = 0")
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    edges = inner.select("kx", "ky").unionByName(outer.select("kx", "ky")).select("kx", "ky", name("kx").alias("src"), name("ky").alias("dst"))
+    return Graph.from_edges(edges, "src", "dst", ["kx", "ky"])
+
+
+@query(clustering_sql(NATIONS, 0.2, 4, 0.2, 3))
+def cluster_full_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).cluster(0.2, 4, 0.2, 3).get_clusters().select("cluster_id", "pos", "key")
+
+
+@query(f"""WITH f AS ({clustering_sql(NATIONS, 0.2, 4, 0.2, 3)})
+    SELECT cluster_id, count(*) AS n, min(pos) AS "start", '[' || string_agg('"' || key || '"', ', ' ORDER BY pos) || ']' AS line FROM f GROUP BY cluster_id""")
+def cluster_json_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and offsets of found clusters, and their lines of the JSON sink."""
+    found = _nations(spark, sf_dir).cluster(0.2, 4, 0.2, 3)
+    lists = found.cluster_lists().select("cluster_id", F.concat(F.lit('["'), F.array_join("members", '", "'), F.lit('"]')).alias("line"))
+    return lists.join(found.get_clusters().groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("pos").alias("start")), "cluster_id")
+
+
+@query("SELECT 0 AS n_vertices, 0 AS n_edges")
+def empty_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph.empty(spark)
+    return spark.createDataFrame([(graph.num_vertices(), graph.num_edges())], "n_vertices long, n_edges long")
+
+
+@query(f"""WITH {TRADE}, n AS (SELECT count(*) AS n FROM v), new AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS r FROM (SELECT 'p' || p_partkey AS key FROM part WHERE p_partkey % 50 = 0))
+    SELECT key, pos FROM v UNION ALL SELECT key, n + r FROM new, n""")
+def point_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices that are there already, c and s of the graph, keep their numbers; the others follow in order of key."""
+    graph = P.trade_graph(spark, sf_dir)
+    parts = P.table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"))
+    return graph.with_vertices(parts.unionByName(graph.vertices.select("key"))).vertices.select("key", "pos")
+
+
+@query(f"""WITH {TRADE}, n AS (SELECT count(*) AS n FROM e), x AS (SELECT 'n' || n_nationkey AS s, 'n' || (n_nationkey + 1) % 25 AS d FROM nation),
+    k AS (SELECT key, (SELECT count(*) FROM v) + row_number() OVER (ORDER BY key) - 1 AS pos FROM (SELECT DISTINCT s AS key FROM x))
+    SELECT n + row_number() OVER (ORDER BY a.pos, b.pos) - 1 AS eid, s AS src, d AS dst FROM x JOIN k a ON a.key = s JOIN k b ON b.key = d, n UNION ALL SELECT eid, s, d FROM e""")
+def point_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    nations = P.table(spark, sf_dir, "nation").select(key(F.col("n_nationkey")).alias("src"), key((F.col("n_nationkey") + 1) % 25).alias("dst"))
+    return P.trade_graph(spark, sf_dir).with_edges(nations).edge_list()
+
+
+@query(f"WITH {TRADE} SELECT key, pos, CASE WHEN key LIKE 'c%' THEN c_name END AS label FROM v LEFT JOIN customer ON key = 'c' || c_custkey")
+def labelled_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that come after the edges, as elements of a parallel source do."""
+    names = P.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("label"))
+    return P.trade_graph(spark, sf_dir).with_labels(names).vertices.select("key", "pos", "label")
+
+
+@query(f"WITH {TRADE}, w(key) AS (VALUES ('c1'), ('s3'), ('nobody')) SELECT w.key, coalesce(v.pos, -1) AS pos FROM w LEFT JOIN v ON v.key = w.key")
+def vertex_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = P.trade_graph(spark, sf_dir)
+    found = {key: graph.get_vertex_id(key) for key in ("c1", "s3", "nobody")}
+    return spark.createDataFrame([(key, -1 if pos is None else pos) for key, pos in found.items()], "key string, pos long")
+
+
+@query("""WITH n AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer UNION ALL SELECT DISTINCT 'x' || c_nationkey FROM customer),
+    r AS (SELECT key, row_number() OVER (ORDER BY try_cast(key AS BIGINT) NULLS LAST, key) - 1 AS r FROM n)
+    SELECT a.r AS src, b.r AS dst FROM customer JOIN r a ON a.key = CAST(c_custkey AS VARCHAR) JOIN r b ON b.key = 'x' || c_nationkey""")
+def renumbered_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are numbers in text, in order of value, each once."""
+    edges = P.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("src"), F.concat(F.lit("x"), F.col("c_nationkey").cast("string")).alias("dst"))
+    found = Graph.from_edges(edges, "src", "dst", "c_custkey").renumbered_keys(numeric=True).edge_list()
+    return found.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+@query("""SELECT unnest(['cluster of an empty graph', 'min_size 0', 'steps 0', 'factor not finite', 'range beyond the vertices', 'range turned', 'no such file', 'line of an attribute',
+    'writing an edge of an unknown vertex', 'negative seed', 'no nodes', 'more new edges than nodes', 'density above 1', 'link within a cluster', 'no such cluster', 'too many links', 'no such node', 'used up']) AS "call",
+    unnest(['ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'OSError', 'ValueError', 'OSError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError', 'ValueError']) AS error""")
+def refused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What arguments that make no sense are answered with."""
+    one = spark.createDataFrame([("a", "b", 0)], "s string, d string, o long")
+    graph, empty = Graph.from_edges(one, "s", "d", "o"), Graph.empty(spark)
+    lost = Graph(graph.vertices.where("key = 'a'"), graph.edges)
+    builder, used = GraphBuilder(spark, 1), GraphBuilder(spark, 1)
+    for _ in range(2):
+        builder.add_dense_cluster(2, 0.0)
+    used.finalize_graph()
+    bad = spark.createDataFrame([(0, "digraph {"), (1, "[a=b]")], "at long, line string")
+    calls = {
+        "cluster of an empty graph": lambda: empty.cluster(0.1, 1, 0.1, 1),
+        "min_size 0": lambda: graph.cluster(0.1, 1, 0.1, 0),
+        "steps 0": lambda: graph.cluster(0.1, 0, 0.1, 1),
+        "factor not finite": lambda: graph.cluster_step(float("nan"), 0, 1),
+        "range beyond the vertices": lambda: graph.cluster_step(0.1, 0, 3),
+        "range turned": lambda: graph.cluster_step(0.1, 2, 1),
+        "no such file": lambda: read_dot(spark, "/no/such/file.dot"),
+        "line of an attribute": lambda: statements(bad).collect(),
+        "writing an edge of an unknown vertex": lambda: write_dot(lost, "/no/such/folder.dot"),
+        "negative seed": lambda: GraphBuilder(spark, -1),
+        "no nodes": lambda: builder.add_scale_free_cluster(0, 1),
+        "more new edges than nodes": lambda: builder.add_scale_free_cluster(2, 3),
+        "density above 1": lambda: builder.add_dense_cluster(3, 1.5),
+        "link within a cluster": lambda: builder.add_random_link(0, 0),
+        "no such cluster": lambda: builder.add_random_link(0, 2),
+        "too many links": lambda: builder.add_random_links(0, 1, 5),
+        "no such node": lambda: builder.add_link(0, 1, 2, 0),
+        "used up": lambda: used.add_dense_cluster(2, 0.5),
+    }
+    answers = []
+    for name, call in calls.items():
+        try:
+            call()
+            answers.append((name, "none"))
+        except (ValueError, OSError) as e:
+            answers.append((name, "OSError" if isinstance(e, OSError) else "ValueError"))
+        except PySparkException as e:
+            answers.append((name, "ValueError" if "ValueError" in str(e) else type(e).__name__))
+    return spark.createDataFrame(answers, "call string, error string")
+
+
 @query()
 def louvain_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return louvain(P.knn_graph(spark, sf_dir))

@@ -14,8 +14,11 @@ def decayed(position: Column, factor: float) -> Column:
 
 
 def log_weight(weight: Column) -> Column:
-    """Quantised binary logarithm, null for a weight of 0, so that the order does not hang on the order of summation."""
-    return F.when(weight > 0, F.round(F.log2(weight), DIGITS))
+    """Quantised binary logarithm, null for a weight of 0, so that the order does not hang on the order of summation.
+
+    operators.local computes it with the same operations of doubles.
+    """
+    return F.when(weight > 0, F.rint(F.log2(weight) * 10.0**DIGITS) / 10.0**DIGITS)
 
 
 def binned(position: Column, vertices: Column, most: int = 1000) -> Column:

@@ -162,9 +162,10 @@ class Graph:
         s, d = (vids.select(F.col("vid").alias(x)).distinct() for x in ("sv", "dv"))
         return self.edges.join(s, F.col("src") == F.col("sv"), "left_semi").join(d, F.col("dst") == F.col("dv"), "left_semi")
 
-    def renumbered_keys(self) -> Graph:
-        """Keys become their ranks in order of key, as text; positions stay."""
-        by_key = ranked(self.vertices, [F.col("key")], "r")
+    def renumbered_keys(self, numeric: bool = False) -> Graph:
+        """Keys become their ranks in order of key, as text; positions stay. numeric: keys that are whole numbers come first, by value."""
+        order = [F.col("key").try_cast("decimal(38,0)").asc_nulls_last()] if numeric else []
+        by_key = ranked(self.vertices, [*order, F.col("key")], "r")
         return Graph(by_key.select("vid", F.col("r").cast("string").alias("key"), F.lit(None).cast("string").alias("label"), "pos"), self.edges)
 
     # Clustering

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked
-from ..plans.staging import staged
+from ..plans.staging import importable, staged
 from .affinity import affinity_round
 from .local import BORDER, STRONG, WEAK, attached, segmented
 from .scoring import checked_factor, step
@@ -92,19 +92,20 @@ def segments(vertices: DataFrame, edges: DataFrame, factor: float, steps: int, t
         rows = lone.select("seg", F.lit(False).alias("edge"), F.col("vid").alias("a"), F.col("p").alias("b"))
         own = inner.join(weight.where("small").select("g"), F.col("seg") == F.col("g"), "left_semi")
         rows = rows.unionByName(own.select("seg", F.lit(True).alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b")))
-        out.append(rows.groupBy("seg").applyInArrow(_task(factor, steps, threshold, min_size), PLACED))
+        # Each level is computed and written as it comes, so the plan does not grow with the levels.
+        out.append(staged(rows.groupBy("seg").applyInArrow(_task(factor, steps, threshold, min_size), PLACED), "lone"))
         large = sized.where("NOT small").select("vid", "seg", "p")
         if large.limit(1).count() == 0:
             break
         inner = inner.join(weight.where("NOT small").select("g"), F.col("seg") == F.col("g"), "left_semi").select("src", "dst")
         placed, active = _level(large, inner, factor, steps, threshold, min_size)
-        out.append(placed)
+        out.append(staged(placed, "placed"))
         if active.limit(1).count() == 0:
             break
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return staged(found, "segments")
+    return found
 
 
 def _attach_task(key: tuple, table: pa.Table) -> pa.Table:
@@ -149,6 +150,7 @@ def attach(members: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -
 
 def clustered(graph: Graph, factor: float, steps: int, threshold: float, min_size: int, task_edges: int = TASK_EDGES, task_vertices: int = TASK_VERTICES) -> Graph:
     """graph with clusters: vertices without edges alone, first; then communities, in order of position."""
+    importable(graph.vertices.sparkSession)
     factor = checked_factor(factor)
     n = graph.num_vertices()
     if n == 0:

@@ -15,7 +15,7 @@ def scores(src: np.ndarray, dst: np.ndarray, place: np.ndarray, factor: float) -
     n = place.size
     weight = np.bincount(src, near[dst], n) + np.bincount(dst, near[src], n)
     with np.errstate(divide="ignore"):
-        return np.round(np.log2(weight), DIGITS)
+        return np.rint(np.log2(weight) * 10.0**DIGITS) / 10.0**DIGITS
 
 
 def cut(lw: np.ndarray, threshold: float, min_size: int) -> list[tuple[int, int, bool]]:

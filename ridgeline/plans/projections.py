@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from .staging import importable
 
 NEIGHBOURS = 10
 #: Rows of a block of vectors; two blocks at a time meet in a task.
@@ -69,6 +70,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> Data
 
     Two blocks meet in a task, which keeps the k best for each of its rows; those of all blocks are then ranked.
     """
+    importable(vectors.sparkSession)
     count = vectors.count()
     blocks = max(1, -(-count // block))
     own = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))

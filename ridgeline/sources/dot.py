@@ -36,7 +36,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def statements(numbered: DataFrame, dialect: str = "reference") -> DataFrame:
-    """at, src, dst (null for a vertex) and label of the statements among numbered lines (at, line)."""
+    """at, src, dst (null for a vertex) and label of the statements among numbered lines (at, line).
+
+    at is the number of the line; in the quoted dialect, of the statement among all.
+    """
     if dialect not in EDGE:
         raise ValueError(f"unknown dialect: {dialect}")
     body = numbered.where("at > 0").withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
@@ -45,7 +48,8 @@ def statements(numbered: DataFrame, dialect: str = "reference") -> DataFrame:
     if dialect == "quoted":
         body = body.where(~F.col("line").rlike(r"^(?://|#|/\*)"))
         pieces = F.regexp_extract_all("line", F.lit(r'(?:"(?:[^"\\]|\\.)*+"|\[[^\]]*+\]|[^;"\[])++'), F.lit(0))
-        body = body.select((F.col("at") * 1024).alias("at"), F.posexplode(pieces).alias("k", "line")).select((F.col("at") + F.col("k")).alias("at"), "line").where(F.trim("line") != "")
+        body = body.select(F.col("at").alias("row"), F.posexplode(pieces).alias("k", "line")).where(F.trim("line") != "")
+        body = ranked(body, [F.col("row"), F.col("k")], "at").select("at", "line")
     src, dst = F.regexp_extract("line", EDGE[dialect], 1), F.regexp_extract("line", EDGE[dialect], 2)
     node = F.regexp_extract("line", NODE[dialect], 1)
     found = body.select("at", "line", F.when(dst != "", src).when(node != "", node).alias("src"), F.when(dst != "", dst).alias("dst"), F.nullif(F.regexp_extract("line", LABEL, 1), F.lit("")).alias("label"))

@@ -45,7 +45,9 @@ def read_entities(spark: SparkSession, path: str, relationship: str) -> Graph:
         text = spark.read.text(path, lineSep="\n")
     except AnalysisException as e:
         raise OSError(f"Error: {e}") from e
-    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("serial", F.monotonically_increasing_id())
+    # Files by name, blocks of a file by where they begin, lines of a block as they are read, whatever task reads them.
+    serial = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
+    text = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).select("value", serial.alias("serial"))
     rows = parsed(text.select("serial", "value"), relationship)
     graph = Graph.from_edges(raw_edges(rows), "src", "dst", ["serial", "k"])
     return graph.with_labels(rows.where("label IS NOT NULL").select(F.col("id").alias("key"), "label"))

@@ -156,3 +156,61 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "c.json").read_text()) == [[f"v{i}" for i in range(1, 8)]]
     cli.main(["evaluate", "--runs", "1", "--clusters", "12"], spark)
     assert 0 <= json.loads(capsys.readouterr().out)["ari"] <= 1
+
+
+def test_many_statements_on_one_line(spark, tmp_path):
+    many = "; ".join(f"a{i} -> b{i}" for i in range(3000))
+    (tmp_path / "g.dot").write_text(f"digraph {{\n{many}\nlate -> a0; x\n}}")
+    graph = read_dot(spark, str(tmp_path / "g.dot"), "quoted")
+    assert graph.collect_edge_list() == [*((f"a{i}", f"b{i}") for i in range(3000)), ("late", "a0")]
+    assert [graph.get_vertex_id(x) for x in ("a0", "b2999", "late", "x")] == [0, 5999, 6000, 6001]
+
+
+def test_entities_are_numbered_by_file(spark, tmp_path):
+    line = '{"id":"%s","claims":{"P1":[{"mainsnak":{"datavalue":{"value":{"id":"%s"}}}}]}}'
+    for name, n in (("b", 400), ("a", 3), ("c", 1)):
+        (tmp_path / f"{name}.json").write_text("\n".join(line % (f"{name}{i}", f"t{name}{i}") for i in range(n)))
+    got = read_entities(spark, str(tmp_path), "P1").collect_edge_list()
+    assert got == [(f"{name}{i}", f"t{name}{i}") for name, n in (("a", 3), ("b", 400), ("c", 1)) for i in range(n)]
+
+
+def test_a_shared_folder_is_needed_beyond_one_machine(spark):
+    from types import SimpleNamespace
+
+    from ridgeline.plans import staging
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda _: folder)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            staging.shared_dir(session(master))
+        assert staging.shared_dir(session(master, "hdfs:///x")) == "hdfs:///x"
+    assert staging.shared_dir(session("local[4]")).startswith("file:///")
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    from ridgeline.plans import staging
+
+    assert staging.staged(spark.range(5), "some").count() == 5
+    root = staging.staged_root(spark).removeprefix("file://")
+    held = root + "-held"
+    os.rename(root, held)
+    staging.staged(spark.range(5), "some")
+    assert os.listdir(root)
+    staging.clear_staged(spark)
+    assert not os.path.exists(root)
+    os.rename(held, root)
+
+
+def test_growth_draws_different_nodes_by_degree():
+    for n, m in ((400, 5), (60, 30), (5, 5), (300, 1), (1, 1)):
+        edges = scale_free_edges(n, m, 3)
+        pairs = {frozenset(x) for x in edges.tolist()}
+        assert len(pairs) == len(edges) >= (n - m) * m and all(len(x) == 2 for x in pairs)
+        assert (scale_free_edges(n, m, 3) == edges).all()
+    degree = np.bincount(scale_free_edges(3000, 4, 1).ravel())
+    assert degree[:30].mean() > 5 * degree[1500:].mean()
