@@ -56,7 +56,11 @@ def seeds(hashes: str, masks: list[str]) -> Column:
 def hit_rows(docs: DataFrame, hashes: DataFrame, masks: list[str]) -> DataFrame:
     """doc_id, text_key, item, n, offset (of the item's first word in the document) of the hits; a row for each alignment."""
     hashed = docs.select("doc_id", "text_key", words(F.col("text")).alias("w"))
-    at = hashed.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(seeds("w", masks)).alias("p", "seed"))
+    # The number of words is taken before the explode: after it, every row would carry the array that it is taken from.
+    # An outer explode, as for others Spark sets a filter on the array's size before the scan, with all of w in each element;
+    # the null that an empty text gives joins nothing.
+    hashed = hashed.select("doc_id", "text_key", F.size("w").alias("size"), seeds("w", masks).alias("seeds"))
+    at = hashed.select("doc_id", "text_key", "size", F.posexplode_outer("seeds").alias("p", "seed"))
     return at.join(hashes, "seed").select("doc_id", "text_key", "item", "n", (F.col("p") % F.col("size") - F.col("q")).alias("offset")).distinct()
 
 
