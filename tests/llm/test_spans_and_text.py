@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import pii, secrets
 from ridgeline.llm.chat_format import chat_format, folded, message_events, read_back, streamed_events, trained_texts
-from ridgeline.llm.decontamination import contaminated, item_masks
+from ridgeline.llm.decontamination import contaminated, hit_rows, item_masks
 
 DOCS = "doc_id long, text string"
 PII = {
@@ -212,6 +212,17 @@ def test_decontamination_finds_neighbouring_substitutions(spark):
     assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == [(k, k, n - len(gone)) for k, (n, gone) in enumerate(cases)]
 
 
+def test_decontamination_hashes_each_position_once(spark):
+    """A filter on the array of seeds, or its words carried beside each seed, would make time grow with the square of a text."""
+    docs = spark.createDataFrame([(1, 1, "a b c d"), (2, 2, "")], "doc_id long, text_key long, text string")
+    hashes = spark.createDataFrame([(1, 4, 5, 0)], "item long, n int, seed long, q int")
+    plan = hit_rows(docs, hashes, ["1111"])._jdf.queryExecution().optimizedPlan().toString()
+    (explode,) = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    (below,) = [line for line in plan[plan.index(explode) + len(explode) :].splitlines() if "seeds#" in line]
+    assert below.count("transform(") == 1 and "size(w#" in below
+    assert not any("Filter" in line and "transform(" in line for line in plan.splitlines())
+
+
 def test_chat_round_trip(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (1, 1, "assistant", "<turn role=\"user\">\n&lt;x\n</turn>\n"), (2, 0, None, None), (2, None, "assistant", "first"), (None, 0, "as\"s<&", "t"), (3, 0, "user", "same"), (3, 0, "user", "same")]
