@@ -1,12 +1,15 @@
-"""Label propagation and Louvain on graphs with an obvious answer."""
+"""Label propagation, Louvain, Leiden, fast greedy and walktrap on graphs with an obvious answer, and against plain versions."""
 
+import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from ridgeline.functions.metrics import adjusted_rand_index
-from ridgeline.operators.comparators import label_propagation, louvain, modularity
+from ridgeline.graph import Graph
+from ridgeline.operators.comparators import COMPARATORS, _walk_distances, _walks, fast_greedy, label_propagation, leiden, louvain, modularity, symmetric, walktrap
 from tests.test_graph import graph_of
 
 
@@ -17,7 +20,11 @@ def cliques(spark):
     return graph_of(spark, pairs, ["alone"])
 
 
-@pytest.mark.parametrize("find", [label_propagation, louvain])
+def leiden_by_modularity(graph):
+    return leiden(graph, objective="modularity")
+
+
+@pytest.mark.parametrize("find", [label_propagation, louvain, leiden_by_modularity, fast_greedy, walktrap])
 def test_cliques_are_found(spark, cliques, find):
     found = find(cliques)
     truth = spark.createDataFrame([(str(i), i // 8) for i in range(40)] + [("alone", 99)], "key string, truth int")
@@ -30,3 +37,66 @@ def test_modularity(spark, cliques):
     inside, m = 5 * 28, 5 * 28 + 5
     assert modularity(cliques, rows).first().modularity == pytest.approx(inside / m - 5 * (2 * m / 5 / (2 * m)) ** 2)
     assert modularity(cliques, louvain(cliques)).first().modularity >= modularity(cliques, label_propagation(cliques)).first().modularity - 1e-9
+
+
+def test_nothing_to_find(spark):
+    lone = graph_of(spark, [("a", "a")], ["b"])
+    for find in set(COMPARATORS.values()):
+        assert find(Graph.empty(spark)).count() == 0
+        assert sorted((r.vid, r.community) for r in find(lone).collect()) == [(0, 0), (1, 1)]
+    with pytest.raises(ValueError):
+        leiden(lone, objective="other")
+    with pytest.raises(ValueError):
+        walktrap(lone, 0)
+
+
+@pytest.fixture(scope="module")
+def tangle(spark):
+    r = random.Random(5)
+    pairs = [(a, b) for a, b in itertools.combinations(range(36), 2) if r.random() < (0.5 if a // 12 == b // 12 else 0.06)]
+    return graph_of(spark, pairs + pairs[:5])
+
+
+def test_leiden_on_a_tangle(spark, tangle):
+    """Communities are connected, no single vertex gains by a move, and the preset objective leaves simple edges alone."""
+    found = {r.vid: r.community for r in leiden(tangle, objective="modularity").collect()}
+    edges = [(r.src, r.dst) for r in tangle.edges.collect()]
+    for c in set(found.values()):
+        inside = {v for v, x in found.items() if x == c}
+        seen, ahead = set(), [c]
+        while ahead:
+            v = ahead.pop()
+            if v not in seen:
+                seen.add(v)
+                ahead += [y for e in edges for x, y in (e, e[::-1]) if x == v and y in inside]
+        assert seen == inside
+
+    def quality(of):
+        m, degree = len(edges), collections.Counter(v for e in edges for v in e)
+        size = collections.Counter()
+        for v, k in degree.items():
+            size[of[v]] += k
+        return sum(of[a] == of[b] for a, b in edges) / m - sum((s / (2 * m)) ** 2 for s in size.values())
+
+    best = quality(found)
+    assert best > 0.3
+    assert all(quality(found | {v: c}) <= best + 1e-9 for v in found for c in set(found.values()))
+    by_cpm = leiden(tangle).groupBy("community").count().where("count > 1").count()
+    assert by_cpm <= 5  # only where an edge is double
+
+
+def test_walk_distances(spark, tangle):
+    """Distances of neighbours against matrices."""
+    links = symmetric(tangle)
+    n = tangle.num_vertices()
+    w = np.zeros((n, n))
+    for r in links.collect():
+        w[r.a, r.b] = r.w
+    w += np.diag(w.sum(1) / (w > 0).sum(1))
+    degree = w.sum(1)
+    walk = np.linalg.matrix_power(w / degree[:, None], 3) / np.sqrt(degree)
+    sizes = tangle.vertices.selectExpr("vid AS v", "1.0D AS n")
+    got = _walk_distances(links.where("a < b").select("a", "b"), _walks(links, 3), sizes).collect()
+    assert len(got) == links.where("a < b").count()
+    for r in got:
+        assert -r.near == pytest.approx(((walk[r.a] - walk[r.b]) ** 2).sum() / 2, abs=1e-9)
