@@ -27,7 +27,7 @@ def label_propagation(graph: Graph) -> DataFrame:
     """Each round some vertices take the label that most of their edges lead to (ties: their own, else the lowest).
 
     A vertex changes only to a label with more edges than its own, so the edges within labels grow with each change of one
-    vertex. Every second one changes at a time; where that gains nothing, ever fewer do, at last the one that gains most.
+    vertex. Half of those that gain change at a time; where they spoil each other's gain, those between different labels.
     """
     links = staged(symmetric(graph).where("a <> b"), "links")
     start = graph.vertices.select(F.col("vid").alias("v"), F.lit(0.0).alias("k"), F.col("vid").alias("c"))
@@ -60,33 +60,36 @@ def _gains(links: DataFrame, state: DataFrame, penalty: float) -> DataFrame:
     return near.select("v", "k", "c", "n", F.round(F.col("w") - F.lit(penalty) * F.col("k") * rest, 9).alias("gain"))
 
 
+def _apart(wishes: DataFrame) -> DataFrame:
+    """v: of wishes (v, c, n, more) those that gain most for both communities they touch, so that none touches another's."""
+    touched = wishes.select("v", F.explode(F.array("c", "n")).alias("g"), F.struct(F.col("more"), -F.col("v")).alias("rank"))
+    return touched.groupBy("g").agg(F.max_by("v", "rank").alias("v")).groupBy("v").agg(F.count("*").alias("ends")).where("ends = 2").select("v")
+
+
 def _moves(links: DataFrame, state: DataFrame, penalty: float) -> DataFrame:
     """state (v, k, c) with vertices moved to the neighbouring community that gains most, until no move raises the quality.
 
-    Vertices that move at once may spoil each other's gain. Moves that don't raise the quality are taken back, and fewer
-    are tried, at last the one of greatest gain; so the quality grows with each round, and the rounds come to an end.
+    Half of those that gain move at once. Where they spoil each other's gain, only moves between different communities are
+    made instead, whose gains add up; so the quality grows with each round, and the rounds come to an end.
     """
-    state = staged(state, "state")
-    value, halvings, i = _quality(links, state, penalty), 1, 0
+    state, value, bold, i = staged(state, "state"), None, True, 0
+    own, wants = F.col("n") == F.col("c"), F.col("more") > TINY
     while True:
-        own = F.col("n") == F.col("c")
         best = _gains(links, state, penalty).groupBy("v", "k", "c").agg(F.max_by(F.struct("n", "gain"), F.struct("gain", own, -F.col("n"))).alias("x"), F.max(F.when(own, F.col("gain"))).alias("was"))
         wish = staged(best.select("v", "k", "c", F.col("x.n").alias("n"), (F.col("x.gain") - F.col("was")).alias("more")), "wishes")
-        wants = F.col("more") > TINY
-        wishes, top = wish.where(wants).agg(F.count("*"), F.max_by("v", F.struct("more", -F.col("v")))).first()
+        wishes = wish.where(wants).count()
         if not wishes:
             return state
-        while True:
-            one = (1 << halvings) >= 2 * wishes
-            turn = F.col("v") == top if one else F.pmod(F.xxhash64("v", F.lit(i)), F.lit(1 << halvings)) == 0
-            after = staged(wish.select("v", "k", F.when(wants & turn, F.col("n")).otherwise(F.col("c")).alias("c")), "state")
-            i, now = i + 1, _quality(links, after, penalty)
+        if bold:
+            turn = F.pmod(F.xxhash64("v", F.lit(i)), F.lit(2)) == 0
+            after, i = wish.select("v", "k", F.when(wants & turn, F.col("n")).otherwise(F.col("c")).alias("c")), i + 1
+            value, now = _quality(links, state, penalty) if value is None else value, _quality(links, after, penalty)
             if now > value + TINY:
-                state, value, halvings = after, now, max(1, halvings - 1)
-                break
-            if one:
-                return state
-            halvings += 1
+                state, value = after, now
+                continue
+        chosen = staged(_apart(wish.where(wants)).withColumnRenamed("v", "u"), "chosen")
+        state, value = staged(wish.join(chosen, F.col("v") == F.col("u"), "left").select("v", "k", F.when(F.col("u").isNotNull(), F.col("n")).otherwise(F.col("c")).alias("c")), "state"), None
+        bold = wishes > 4 * chosen.count()
 
 
 def _merged(links: DataFrame, names: DataFrame) -> DataFrame:
