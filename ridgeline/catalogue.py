@@ -11,7 +11,7 @@ from .functions.metrics import adjusted_rand_index, differences
 from .functions.ranking import ranked
 from .graph import Graph
 from .operators.affinity import affinity_counts, affinity_round, best_cluster
-from .operators.comparators import fast_greedy, label_propagation, leiden, louvain, modularity, walktrap
+from .operators.comparators import fast_greedy, label_propagation, leiden, louvain, modularity
 from .operators.scoring import step, weights
 from .operators.segments import demoted, first_strong, kinds, runs
 from .plans import projections as P
@@ -546,11 +546,6 @@ def label_propagation_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_propagation(P.knn_graph(spark, sf_dir))
 
 
-@query()
-def leiden_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leiden(P.knn_graph(spark, sf_dir), objective="modularity")
-
-
 @query()
 def leiden_cpm_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leiden(P.knn_graph(spark, sf_dir))
@@ -559,8 +554,3 @@ def leiden_cpm_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fast_greedy_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_greedy(P.knn_graph(spark, sf_dir))
-
-
-@query()
-def walktrap_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walktrap(P.knn_graph(spark, sf_dir))
