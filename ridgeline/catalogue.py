@@ -419,10 +419,15 @@ def cluster_full_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> Graph:
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"), rank.alias("i"))
+    customers = P.table(spark, sf_dir, "customer").where("c_nationkey IS NOT NULL").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"))
+    c = staged(ranked(customers, [F.col("k")], "i", "g"), "customers")
     x, y = (c.select(*[F.col(n).alias(f"{n}{side}") for n in "kgi"]) for side in "xy")
-    inner = x.join(y, (F.col("gx") == F.col("gy")) & (F.col("iy") > F.col("ix")) & ((F.col("iy") - F.col("ix") <= 3) | (F.col("iy") % (F.col("ix") + 2) == 0)))
+    # Who a customer is linked to follows from its number: the next three, and the multiples of two more than it, of which the first is among those.
+    last = c.groupBy(F.col("g").alias("gl")).agg(F.max("i").alias("last"))
+    twice = 2 * (F.col("ix") + 2)
+    later = F.when(twice <= F.col("last"), F.sequence(twice, F.col("last"), F.col("ix") + 2)).otherwise(F.array().cast("array<bigint>"))
+    following = F.concat(F.array(*[F.col("ix") + i for i in (1, 2, 3)]), later)
+    inner = x.join(F.broadcast(last), F.col("gx") == F.col("gl")).select("kx", "gx", F.explode(following).alias("to")).join(y, (F.col("gx") == F.col("gy")) & (F.col("to") == F.col("iy")))
     outer = x.join(y, (F.col("gy") == (F.col("gx") + 1) % 25) & (F.col("ix") == F.col("iy"))).where("ix % 9 = 0")
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
     edges = inner.select("kx", "ky").unionByName(outer.select("kx", "ky")).select("kx", "ky", name("kx").alias("src"), name("ky").alias("dst"))

@@ -24,24 +24,26 @@ from .segments import demoted, first_strong, kinds, runs
 if TYPE_CHECKING:
     from ..graph import Graph
 
-#: Edges, and vertices, of a segment that one task may take (some hundreds of MB in numpy).
-TASK_EDGES = 2_000_000
-TASK_VERTICES = 2_000_000
+#: Edges, and vertices, of a segment that one task may take in numpy.
+TASK_EDGES = 12_000_000
+TASK_VERTICES = 4_000_000
 
 PLACED = "vid long, pos long, start long, end long, kind long"
 
 
 def _task(factor: float, steps: int, threshold: float, min_size: int):
-    """Rows of one segment, vertices (a = vid, b = place) and edges (a, b = vids), to PLACED."""
+    """Rows of one segment, vertices (x = vid, y = place) and edges (x = -1 - place, y = place), to PLACED."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        edge, a, b = (table[c].to_numpy() for c in ("edge", "a", "b"))
+        x, y = table["x"].to_numpy(), table["y"].to_numpy()
+        del table
+        edge = x < 0
+        vids = np.empty(x.size - np.count_nonzero(edge), np.int64)
+        vids[y[~edge]] = x[~edge]
+        src, dst = -1 - x[edge], y[edge]
+        del x, y, edge
         start = key[0].as_py()
-        order = np.argsort(b[~edge], kind="stable")
-        vids = a[~edge][order]
-        by_vid = np.argsort(vids)
-        local = [by_vid[np.searchsorted(vids, x[edge], sorter=by_vid)] for x in (a, b)]
-        final, found = segmented(*local, vids.size, factor, steps, threshold, min_size)
+        final, found = segmented(src, dst, vids.size, factor, steps, threshold, min_size)
         size = [e - s for s, e, _ in found]
         of = np.repeat(np.array(found, np.int64).reshape(-1, 3), size, axis=0)
         return pa.table({"vid": vids[final], "pos": start + np.arange(vids.size), "start": start + of[:, 0], "end": start + of[:, 1], "kind": of[:, 2]})
@@ -82,16 +84,16 @@ def segments(vertices: DataFrame, edges: DataFrame, factor: float, steps: int, t
     """PLACED for connected vertices (vid, p from 0): final positions, and the segment and its kind for each."""
     active, inner, out = vertices.select("vid", F.lit(0).cast("long").alias("seg"), "p"), edges.select("src", "dst"), []
     while True:
-        s, d = (active.select(F.col("vid").alias(f"{x}v"), F.col("seg").alias(f"{x}g")) for x in "sd")
-        inner = staged(inner.join(s, F.col("src") == F.col("sv")).join(d, F.col("dst") == F.col("dv")).where("sg = dg").select("src", "dst", F.col("sg").alias("seg")), "inner")
+        s, d = (active.select(F.col("vid").alias(f"{x}v"), F.col("seg").alias(f"{x}g"), F.col("p").alias(f"{x}p")) for x in "sd")
+        inner = staged(inner.join(s, F.col("src") == F.col("sv")).join(d, F.col("dst") == F.col("dv")).where("sg = dg").select("src", "dst", F.col("sg").alias("seg"), "sp", "dp"), "inner")
         weight = active.groupBy("seg").agg(F.count("*").alias("n")).join(inner.groupBy("seg").agg(F.count("*").alias("m")), "seg", "left").withColumn("m", F.coalesce("m", F.lit(0)))
         small = (F.col("m") <= task_edges) & (F.col("n") <= task_vertices)
         weight = staged(weight.select(F.col("seg").alias("g"), small.alias("small"), (F.col("n") <= min_size).alias("tiny")), "weights")
         sized = staged(active.join(weight, F.col("seg") == F.col("g")).drop("g"), "active")
         lone = sized.where("small")
-        rows = lone.select("seg", F.lit(False).alias("edge"), F.col("vid").alias("a"), F.col("p").alias("b"))
+        rows = lone.select("seg", F.col("vid").alias("x"), F.col("p").cast("int").alias("y"))
         own = inner.join(weight.where("small").select("g"), F.col("seg") == F.col("g"), "left_semi")
-        rows = rows.unionByName(own.select("seg", F.lit(True).alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b")))
+        rows = rows.unionByName(own.select("seg", (-1 - F.col("sp")).alias("x"), F.col("dp").cast("int").alias("y")))
         # Each level is computed and written as it comes, so the plan does not grow with the levels.
         out.append(staged(rows.groupBy("seg").applyInArrow(_task(factor, steps, threshold, min_size), PLACED), "lone"))
         large = sized.where("NOT small").select("vid", "seg", "p")
@@ -110,12 +112,12 @@ def segments(vertices: DataFrame, edges: DataFrame, factor: float, steps: int, t
 
 def _attach_task(key: tuple, table: pa.Table) -> pa.Table:
     """Rows of one task, vertices (a = vid, b = pos, c = cluster or null) and edges (a, b = vids), to vid, cluster."""
-    edge, a, b = (table[c].to_numpy() for c in ("edge", "a", "b"))
-    c = table["c"].fill_null(-1).to_numpy()[~edge]
-    order = np.argsort(b[~edge])
-    vids, cluster = a[~edge][order], c[order]
-    by_vid = np.argsort(vids)
-    local = [by_vid[np.searchsorted(vids, x[edge], sorter=by_vid)] for x in (a, b)]
+    edge = table["edge"].to_numpy()
+    vids, pos = (table[c].to_numpy()[~edge] for c in "ab")
+    order = np.argsort(pos)
+    vids, cluster = vids[order], table["c"].fill_null(-1).to_numpy()[~edge][order]
+    by_vid = np.argsort(vids).astype(np.int32)
+    local = [by_vid[np.searchsorted(vids, table[c].to_numpy()[edge], sorter=by_vid)] for c in "ab"]
     return pa.table({"vid": vids, "cluster": attached(cluster, *local, int(cluster.max(initial=-1)) + 1)})
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -202,6 +203,29 @@ def test_local_levels_equal_recursion(case):
     assert [a for a, *_ in found] == [0, *[b for _, b, _ in found[:-1]]]
 
 
+def test_many_levels_of_a_long_graph():
+    """Each level looks at the edges in reach only: thousands of levels, of a graph far longer than they reach, end soon."""
+    n = 40_000
+    i = np.arange(n)
+    src, dst = np.concatenate([i[:-k] for k in (1, 2, 3)]), np.concatenate([i[k:] for k in (1, 2, 3)])
+    began = time.monotonic()
+    final, found = segmented(src, dst, n, 5.0, 4, -0.2, 3)
+    assert time.monotonic() - began < 30
+    assert sorted(final.tolist()) == list(range(n)) and [a for a, *_ in found] == [0, *[b for _, b, _ in found[:-1]]]
+
+
+def test_short_reach_equals_recursion():
+    """Scores that come to 0 within a few places."""
+    r = random.Random(9)
+    for _ in range(20):
+        n = r.randint(5, 60)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(3, 150))]
+        src, dst = np.array(pairs).T
+        final, found = segmented(src, dst, n, 90.0, 3, -0.2, 2)
+        place, want = recursive(src.tolist(), dst.tolist(), n, 90.0, 3, -0.2, 2)
+        assert found == want and [place[v] for v in final.tolist()] == list(range(n))
+
+
 @pytest.mark.parametrize("case", CASES[:2])
 def test_dataframe_levels_equal_local_ones(spark, case):
     seed, sizes, inner, outer, *params = case
