@@ -418,7 +418,8 @@ def cluster_full_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.knn_graph(spark, sf_dir).cluster(0.1, 5, 0.25, 10).get_clusters().select("cluster_id", "pos", "key")
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> Graph:
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kx, ky: who is linked to whom; src, dst: their names."""
     customers = P.table(spark, sf_dir, "customer").where("c_nationkey IS NOT NULL").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"))
     c = staged(ranked(customers, [F.col("k")], "i", "g"), "customers")
     x, y = (c.select(*[F.col(n).alias(f"{n}{side}") for n in "kgi"]) for side in "xy")
@@ -430,8 +431,11 @@ def _nations(spark: SparkSession, sf_dir: str) -> Graph:
     inner = x.join(F.broadcast(last), F.col("gx") == F.col("gl")).select("kx", "gx", F.explode(following).alias("to")).join(y, (F.col("gx") == F.col("gy")) & (F.col("to") == F.col("iy")))
     outer = x.join(y, (F.col("gy") == (F.col("gx") + 1) % 25) & (F.col("ix") == F.col("iy"))).where("ix % 9 = 0")
     name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
-    edges = inner.select("kx", "ky").unionByName(outer.select("kx", "ky")).select("kx", "ky", name("kx").alias("src"), name("ky").alias("dst"))
-    return Graph.from_edges(edges, "src", "dst", ["kx", "ky"])
+    return inner.select("kx", "ky").unionByName(outer.select("kx", "ky")).select("kx", "ky", name("kx").alias("src"), name("ky").alias("dst"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph.from_edges(_nation_edges(spark, sf_dir), "src", "dst", ["kx", "ky"])
 
 
 @query(clustering_sql(NATIONS, 0.2, 4, 0.2, 3))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import cli
 from ridgeline.builder import GraphBuilder, scale_free_edges
+from ridgeline.catalogue import _nation_edges
 from ridgeline.sources.dot import read_dot, write_dot
 from ridgeline.sources.entities import read_entities
 from ridgeline.streaming.entity_edges import append_edges, edge_stream, snapshot
@@ -214,3 +215,16 @@ def test_growth_draws_different_nodes_by_degree():
         assert (scale_free_edges(n, m, 3) == edges).all()
     degree = np.bincount(scale_free_edges(3000, 4, 1).ravel())
     assert degree[:30].mean() > 5 * degree[1500:].mean()
+
+
+def test_nations_are_linked_without_pairing_all(spark, tmp_path):
+    """The links of the nations' graph against all pairs, from joins on equal keys alone."""
+    g = {k: None if k % 50 == 7 else 3 if k < 200 else (k * k) % 25 for k in range(0, 1200, 2)}
+    spark.createDataFrame(list(g.items()), "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    edges = _nation_edges(spark, str(tmp_path))
+    own = {n: [k for k in g if g[k] == n] for n in range(25)}
+    want = [(own[n][i], own[n][j]) for n in own for i in range(len(own[n])) for j in range(i + 1, len(own[n])) if j - i <= 3 or j % (i + 2) == 0]
+    want += [(a, b) for n in own for i, (a, b) in enumerate(zip(own[n], own[(n + 1) % 25])) if i % 9 == 0]
+    assert sorted((r.kx, r.ky) for r in edges.collect()) == sorted(want)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and (" OR " in line or "<" in line)]
