@@ -3,18 +3,45 @@
 All take edges as undirected; parallel edges add up and self-loops count for degrees only. Vertices without edges stay
 alone. Results are (vid, community), a community named by one of its vertices; an empty graph gives no rows. Rounds go on
 until nothing changes any more; ties are broken by numbers or their hashes, so results are the same on any cluster.
+Moves and greedy merges of few enough links are made in one task (local_moves), with equal results.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.staging import staged
+from ..plans.staging import importable, staged
+from .local_moves import merged_greedily, moved
 
 #: A change of quality, in edges, below which it is taken for rounding.
 TINY = 1e-6
+#: Links, each in both directions, whose rounds one task may make in numpy.
+TASK_LINKS = 4_000_000
+
+
+def _quantised(gain: Column) -> Column:
+    """Rounded by the same operations of doubles as in local_moves."""
+    return F.rint(gain * 1e9) / 1e9
+
+
+def _in_one_task(links: DataFrame, state: DataFrame, run) -> DataFrame:
+    """(v, c) that run(a, b, w, k, c, names) gives of links (a, b, w) and state (v, k, c), all numbered in order of v; names: the vs."""
+
+    def task(table: pa.Table) -> pa.Table:
+        link, a, b, w = (table[x].to_numpy() for x in ("link", "a", "b", "w"))
+        order = np.argsort(a[~link])
+        names = a[~link][order]
+        number = [np.searchsorted(names, x) for x in (a[link], b[link], b[~link][order])]
+        found = run(number[0], number[1], w[link], w[~link][order], number[2], names)
+        return pa.table({"v": names, "c": names[found]})
+
+    importable(links.sparkSession)
+    rows = links.select(F.lit(True).alias("link"), "a", "b", "w").unionByName(state.select(F.lit(False).alias("link"), F.col("v").alias("a"), F.col("c").alias("b"), F.col("k").alias("w")))
+    return rows.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(task, "v long, c long")
 
 
 def symmetric(graph: Graph) -> DataFrame:
@@ -23,7 +50,7 @@ def symmetric(graph: Graph) -> DataFrame:
     return both.groupBy(F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.count("*").cast("double").alias("w"))
 
 
-def label_propagation(graph: Graph) -> DataFrame:
+def label_propagation(graph: Graph, task_links: int = TASK_LINKS) -> DataFrame:
     """Each round some vertices take the label that most of their edges lead to (ties: their own, else the lowest).
 
     A vertex changes only to a label with more edges than its own, so the edges within labels grow with each change of one
@@ -31,7 +58,7 @@ def label_propagation(graph: Graph) -> DataFrame:
     """
     links = staged(symmetric(graph).where("a <> b"), "links")
     start = graph.vertices.select(F.col("vid").alias("v"), F.lit(0.0).alias("k"), F.col("vid").alias("c"))
-    return _moves(links, start, 0.0).select(F.col("v").alias("vid"), F.col("c").alias("community"))
+    return _moves(links, start, 0.0, task_links).select(F.col("v").alias("vid"), F.col("c").alias("community"))
 
 
 def modularity(graph: Graph, communities: DataFrame) -> DataFrame:
@@ -57,7 +84,7 @@ def _gains(links: DataFrame, state: DataFrame, penalty: float) -> DataFrame:
     near = near.unionByName(state.select(F.col("v").alias("a"), F.col("c").alias("n"), F.lit(0.0).alias("w"))).groupBy("a", "n").agg(F.sum("w").alias("w"))
     near = near.join(sizes, F.col("n") == F.col("s")).join(state, F.col("a") == F.col("v"))
     rest = F.col("size") - F.when(F.col("n") == F.col("c"), F.col("k")).otherwise(0.0)
-    return near.select("v", "k", "c", "n", F.round(F.col("w") - F.lit(penalty) * F.col("k") * rest, 9).alias("gain"))
+    return near.select("v", "k", "c", "n", _quantised(F.col("w") - F.lit(penalty) * F.col("k") * rest).alias("gain"))
 
 
 def _apart(wishes: DataFrame) -> DataFrame:
@@ -66,13 +93,16 @@ def _apart(wishes: DataFrame) -> DataFrame:
     return touched.groupBy("g").agg(F.max_by("v", "rank").alias("v")).groupBy("v").agg(F.count("*").alias("ends")).where("ends = 2").select("v")
 
 
-def _moves(links: DataFrame, state: DataFrame, penalty: float) -> DataFrame:
+def _moves(links: DataFrame, state: DataFrame, penalty: float, task_links: int = TASK_LINKS) -> DataFrame:
     """state (v, k, c) with vertices moved to the neighbouring community that gains most, until no move raises the quality.
 
     Half of those that gain move at once. Where they spoil each other's gain, only moves between different communities are
     made instead, whose gains add up; so the quality grows with each round, and the rounds come to an end.
     """
     state, value, bold, i = staged(state, "state"), None, True, 0
+    if links.count() + state.count() <= task_links:
+        done = _in_one_task(links, state, lambda a, b, w, k, c, names: moved(a, b, w, k, c, names, penalty, TINY))
+        return staged(state.select("v", "k").join(done, "v").select("v", "k", "c"), "state")
     own, wants = F.col("n") == F.col("c"), F.col("more") > TINY
     while True:
         best = _gains(links, state, penalty).groupBy("v", "k", "c").agg(F.max_by(F.struct("n", "gain"), F.struct("gain", own, -F.col("n"))).alias("x"), F.max(F.when(own, F.col("gain"))).alias("was"))
@@ -127,7 +157,7 @@ def _refined(links: DataFrame, state: DataFrame, penalty: float) -> DataFrame:
         groups, i = staged(groups.join(best, F.col("v") == F.col("u"), "left").select("v", "k", "c", F.coalesce("n", "r").alias("r")), "groups"), i + 1
 
 
-def _levels(graph: Graph, resolution: float, by_degree: bool, refine: bool) -> DataFrame:
+def _levels(graph: Graph, resolution: float, by_degree: bool, refine: bool, task_links: int = TASK_LINKS) -> DataFrame:
     """Moves of vertices, then of the groups so far, until no two groups are joined any more."""
     links = staged(symmetric(graph), "links")
     total = links.agg(F.sum("w")).first()[0] or 0.0
@@ -138,7 +168,7 @@ def _levels(graph: Graph, resolution: float, by_degree: bool, refine: bool) -> D
     degree = links.groupBy(F.col("a").alias("v")).agg((F.sum("w") if by_degree else F.lit(1.0)).alias("k"))
     state = degree.select("v", "k", F.col("v").alias("c"))
     while True:
-        state = _moves(links, state, penalty)
+        state = _moves(links, state, penalty, task_links)
         names = _refined(links, state, penalty) if refine else state.select("v", F.col("c").alias("r"))
         if names.where("v <> r").limit(1).count() == 0:
             last = state.select("v", F.col("c").alias("r"))
@@ -150,9 +180,9 @@ def _levels(graph: Graph, resolution: float, by_degree: bool, refine: bool) -> D
         state = groups.join(heads, F.col("c") == F.col("g")).select(F.col("r").alias("v"), "k", F.col("head").alias("c"))
 
 
-def louvain(graph: Graph, resolution: float = 1.0) -> DataFrame:
+def louvain(graph: Graph, resolution: float = 1.0, task_links: int = TASK_LINKS) -> DataFrame:
     """Modularity raised by moves of vertices, then of the communities so far, until none moves any more."""
-    return _levels(graph, resolution, by_degree=True, refine=False)
+    return _levels(graph, resolution, by_degree=True, refine=False, task_links=task_links)
 
 
 def leiden(graph: Graph, resolution: float = 1.0, objective: str = "cpm") -> DataFrame:
@@ -179,7 +209,7 @@ def _named(merges: DataFrame, all_names: DataFrame) -> DataFrame:
     return staged(all_names.join(merges, "v", "left").select("v", F.coalesce("r", "v").alias("r")), "names")
 
 
-def fast_greedy(graph: Graph) -> DataFrame:
+def fast_greedy(graph: Graph, task_links: int = TASK_LINKS) -> DataFrame:
     """Communities merge with the neighbour that raises modularity most, while any merge raises it.
 
     All pairs that are each other's best merge in one round, where the serial algorithm takes one pair after the other.
@@ -190,7 +220,10 @@ def fast_greedy(graph: Graph) -> DataFrame:
     while total:
         size = staged(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")), "sizes")
         ka, kb = (size.select(F.col("v").alias(x), F.col("k").alias(f"k{x}")) for x in "ab")
-        gain = F.round(F.col("w") - F.col("ka") * F.col("kb") / total, 9)
+        if links.count() <= task_links:
+            merged = _in_one_task(links.where("a < b"), size.select("v", "k", F.col("v").alias("c")), lambda a, b, w, k, c, names, i=i: merged_greedily(a, b, w, k, names, total, TINY, i))
+            return staged(found.join(merged, F.col("community") == F.col("v"), "left").select("vid", F.coalesce("c", "community").alias("community")), "found")
+        gain = _quantised(F.col("w") - F.col("ka") * F.col("kb") / total)
         merges = _mutual(links.where("a < b").join(ka, "a").join(kb, "b").select("a", "b", gain.alias("gain")).where(F.col("gain") > TINY), "gain", i)
         if merges.limit(1).count() == 0:
             break

@@ -81,7 +81,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> Data
     def best(rows: pa.Table) -> pa.Table:
         query = rows["query"].to_numpy()
         ids = rows["vec_id"].to_numpy()
-        x = np.stack(rows["x"].to_pylist())
+        x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).copy()
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         out = []
         a, b, names = x[query], x[~query], ids[~query]
@@ -89,8 +89,14 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> Data
             for at in range(0, len(a), 512):
                 near = a[at : at + 512] @ b.T
                 near[ids[query][at : at + 512, None] == names[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(names, near.shape), -near), axis=1)[:, :k]
-                out.append((np.repeat(ids[query][at : at + 512], order.shape[1]), names[order].ravel(), np.take_along_axis(near, order, 1).ravel()))
+                # All as near as the k-th are put in order, ties by name; others can't be among the k.
+                least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
+                row, column = np.nonzero(near >= least)
+                order = np.lexsort((names[column], -near[row, column], row))
+                row, column = row[order], column[order]
+                best = np.arange(row.size) - np.searchsorted(row, row) < k
+                row, column = row[best], column[best]
+                out.append((ids[query][at : at + 512][row], names[column], near[row, column]))
         src, dst, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
         keep = np.isfinite(near)
         return pa.table({"src": src[keep].astype(np.int64), "dst": dst[keep].astype(np.int64), "similarity": near[keep]})

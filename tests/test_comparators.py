@@ -10,6 +10,7 @@ import pytest
 from ridgeline.functions.metrics import adjusted_rand_index
 from ridgeline.graph import Graph
 from ridgeline.operators.comparators import COMPARATORS, _walk_distances, _walks, fast_greedy, label_propagation, leiden, louvain, modularity, symmetric, walktrap
+from ridgeline.operators.local_moves import hashed
 from tests.test_graph import graph_of
 
 
@@ -32,6 +33,23 @@ def test_cliques_are_found(spark, cliques, find):
     assert rows.count() == 41 and adjusted_rand_index(rows, "community", "truth").first().ari == 1.0
 
 
+@pytest.mark.parametrize("find", [label_propagation, louvain, fast_greedy])
+def test_one_task_equals_dataframe_rounds(spark, tangle, find):
+    """The same communities either way, and few jobs in one task, however many rounds there are."""
+    spark.sparkContext.setJobGroup(f"one-{find.__name__}", "")
+    one = sorted(find(tangle).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"one-{find.__name__}"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert one == sorted(find(tangle, task_links=0).collect()) and jobs < 60
+
+
+def test_hashes_are_spark_s(spark):
+    ids = [0, 1, -1, 7, 1 << 40, -(1 << 62), 12345678901]
+    want = spark.createDataFrame([(x, x ^ 5) for x in ids], "a long, b long").selectExpr("a", "b", "xxhash64(a, b, 3) AS h", "xxhash64(a, 0) AS g").collect()
+    a, b = np.array([r.a for r in want]), np.array([r.b for r in want])
+    assert hashed([a, b], 3).tolist() == [r.h for r in want] and hashed([a], 0).tolist() == [r.g for r in want]
+
+
 def test_modularity(spark, cliques):
     rows = cliques.vertices.selectExpr("vid", "CASE WHEN key = 'alone' THEN -1 ELSE CAST(key AS INT) div 8 END AS community")
     inside, m = 5 * 28, 5 * 28 + 5
