@@ -3,7 +3,7 @@
 All take edges as undirected; parallel edges add up and self-loops count for degrees only. Vertices without edges stay
 alone. Results are (vid, community), a community named by one of its vertices; an empty graph gives no rows. Rounds go on
 until nothing changes any more; ties are broken by numbers or their hashes, so results are the same on any cluster.
-Moves and greedy merges of few enough links are made in one task (local_moves), with equal results.
+Moves, all levels of Louvain and greedy merges of few enough links are made in one task (local_moves), with equal results.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.staging import importable, staged
-from .local_moves import merged_greedily, moved
+from .local_moves import levelled, merged_greedily, moved
 
 #: A change of quality, in edges, below which it is taken for rounding.
 TINY = 1e-6
@@ -168,6 +168,9 @@ def _levels(graph: Graph, resolution: float, by_degree: bool, refine: bool, task
     degree = links.groupBy(F.col("a").alias("v")).agg((F.sum("w") if by_degree else F.lit(1.0)).alias("k"))
     state = degree.select("v", "k", F.col("v").alias("c"))
     while True:
+        if not refine and links.count() + state.count() <= task_links:
+            last = _in_one_task(links, state, lambda a, b, w, k, c, names: levelled(a, b, w, k, c, names, penalty, TINY)).withColumnRenamed("c", "r")
+            return staged(found.join(last, F.col("community") == F.col("v"), "left").select("vid", F.coalesce("r", "community").alias("community")), "found")
         state = _moves(links, state, penalty, task_links)
         names = _refined(links, state, penalty) if refine else state.select("v", F.col("c").alias("r"))
         if names.where("v <> r").limit(1).count() == 0:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from .staging import importable
 
 NEIGHBOURS = 10
-#: Rows of a block of vectors; two blocks at a time meet in a task.
-BLOCK = 2048
+#: Rows of a block of vectors and of a wide one; a block and a wide one meet in a task.
+BLOCK, WIDE = 4096, 16384
+#: Rows of a block that are multiplied at a time, and pairs whose similarity is taken at a time.
+PIECE, PAIRS = 128, 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,41 +67,67 @@ def hyperlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+def _best(ids: np.ndarray, a: np.ndarray, names: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
+    """src, dst, similarity: the k nearest of unit vectors b (names) to each of a (ids), but for those of the same name; ties by name.
+
+    All pairs are multiplied in single precision. Columns are put in groups, and the k-th highest of the groups' maxima is, but
+    for rounding, no more than the k-th highest of all; what reaches it is multiplied in double precision, the same in any block.
+    """
+    slack = np.float32((a.shape[1] + 4) * 2.0**-22)  # over twice what rounding can make of a product of unit vectors
+    x, y, m = a.astype(np.float32), b.astype(np.float32).T, len(b)
+    deep = max(1, m // (16 * k))
+    by_name = np.argsort(names, kind="stable")
+    first, last = (np.searchsorted(names, ids, side, sorter=by_name) for side in ("left", "right"))
+    out = []
+    for at in range(0, len(a), PIECE):
+        near = x[at : at + PIECE] @ y
+        many = (last - first)[at : at + PIECE]
+        near[np.repeat(np.arange(len(near)), many), by_name[np.repeat(last[at : at + PIECE] - np.cumsum(many), many) + np.arange(many.sum())]] = -np.inf
+        wanted = near > -np.inf
+        if m > k:
+            tops = near[:, : m // deep * deep].reshape(len(near), deep, m // deep).max(axis=1)
+            wanted &= near >= np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k, None] - slack
+        row, column = np.divmod(np.flatnonzero(wanted), m)
+        exact = np.concatenate([(a[at + row[i : i + PAIRS]] * b[column[i : i + PAIRS]]).sum(axis=1) for i in range(0, max(1, row.size), PAIRS)])
+        order = np.lexsort((names[column], -exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        keep = np.arange(row.size) - np.searchsorted(row, row) < k
+        out.append((ids[at + row[keep]], names[column[keep]], exact[keep]))
+    src, dst, exact = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "similarity": exact})
+
+
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """src, dst, rank, similarity: the k nearest by cosine of each row (vec_id, embedding), all rows against all, in blocks.
 
-    Two blocks meet in a task, which keeps the k best for each of its rows; those of all blocks are then ranked.
+    A block meets a wide one in a task, which keeps the k best for each of its rows; those of all wide blocks are then ranked.
     """
     importable(vectors.sparkSession)
     count = vectors.count()
-    blocks = max(1, -(-count // block))
-    own = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    left = own.select("i", others.alias("j"), F.lit(True).alias("query"), "vec_id", "x")
-    right = own.select(F.col("i").alias("j0"), others.alias("i"), F.lit(False).alias("query"), "vec_id", "x").select("i", F.col("j0").alias("j"), "query", "vec_id", "x")
+    blocks, wides = (max(1, -(-count // rows)) for rows in (block, wide))
+    kind = dict(vectors.dtypes)["embedding"]
+    x = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    own = vectors.select("vec_id", x.alias("x"))
+
+    def numbered(n: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), F.lit(n))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    left = own.select(numbered(blocks).alias("i"), every(wides).alias("j"), F.lit(True).alias("query"), "vec_id", "x")
+    right = own.select(numbered(wides).alias("j"), every(blocks).alias("i"), F.lit(False).alias("query"), "vec_id", "x").select(*left.columns)
 
     def best(rows: pa.Table) -> pa.Table:
         query = rows["query"].to_numpy()
         ids = rows["vec_id"].to_numpy()
-        x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).copy()
+        x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        out = []
-        a, b, names = x[query], x[~query], ids[~query]
-        if len(a) and len(b):
-            for at in range(0, len(a), 512):
-                near = a[at : at + 512] @ b.T
-                near[ids[query][at : at + 512, None] == names[None, :]] = -np.inf
-                # All as near as the k-th are put in order, ties by name; others can't be among the k.
-                least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
-                row, column = np.nonzero(near >= least)
-                order = np.lexsort((names[column], -near[row, column], row))
-                row, column = row[order], column[order]
-                best = np.arange(row.size) - np.searchsorted(row, row) < k
-                row, column = row[best], column[best]
-                out.append((ids[query][at : at + 512][row], names[column], near[row, column]))
-        src, dst, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        keep = np.isfinite(near)
-        return pa.table({"src": src[keep].astype(np.int64), "dst": dst[keep].astype(np.int64), "similarity": near[keep]})
+        sound = np.isfinite(x).all(axis=1)
+        a, b = query & sound, ~query & sound
+        if not a.any() or not b.any():
+            return pa.table({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "similarity": np.empty(0)})
+        return _best(ids[a], x[a], ids[b], x[b], k)
 
     some = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "src long, dst long, similarity double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))

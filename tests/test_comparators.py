@@ -9,8 +9,10 @@ import pytest
 
 from ridgeline.functions.metrics import adjusted_rand_index
 from ridgeline.graph import Graph
+from ridgeline.operators import comparators
 from ridgeline.operators.comparators import COMPARATORS, _walk_distances, _walks, fast_greedy, label_propagation, leiden, louvain, modularity, symmetric, walktrap
-from ridgeline.operators.local_moves import hashed
+from ridgeline.operators.local_moves import _Near, hashed
+from ridgeline.plans.projections import nearest
 from tests.test_graph import graph_of
 
 
@@ -43,6 +45,58 @@ def test_one_task_equals_dataframe_rounds(spark, tangle, find):
     assert one == sorted(find(tangle, task_links=0).collect()) and jobs < 60
 
 
+def test_all_levels_of_louvain_take_one_task(spark, monkeypatch):
+    """Rings of rings of cliques need several levels; they are made in one task, with the result of the DataFrame rounds."""
+    pairs = [p for k in range(24) for p in itertools.combinations(range(4 * k, 4 * k + 4), 2)]
+    pairs += [(4 * k, 4 * (k // 4 * 4 + (k + 1) % 4) + 1) for k in range(24)] + [(16 * g, (16 * g + 18) % 96) for g in range(6)]
+    graph = graph_of(spark, pairs, ["alone"])
+    calls, once = collections.Counter(), {x: getattr(comparators, x) for x in ("_in_one_task", "_moves")}
+    for x, f in once.items():
+        monkeypatch.setattr(comparators, x, lambda *a, x=x, f=f: calls.update([x]) or f(*a))
+    one = sorted(louvain(graph).collect())
+    assert calls == {"_in_one_task": 1}
+    assert one == sorted(louvain(graph, task_links=0).collect()) and calls["_moves"] > 2
+    calls.clear()
+    assert one == sorted(louvain(graph, task_links=300).collect()) and calls == {"_in_one_task": 1, "_moves": 1}
+
+
+def test_weights_are_kept_up_as_vertices_move():
+    r = np.random.default_rng(4)
+    n = 300
+    w = np.triu(r.integers(1, 4, (n, n)) * (r.random((n, n)) < 0.03), 1)
+    w = w + w.T
+    (a, b), c = np.nonzero(w), np.arange(n)
+    near = _Near(a, b, w[a, b].astype(float), c)
+    for many in (200, 3, 1, 40, 0, 5, 5, 5, 5, 150, 20, 20, 20, 2):
+        u = np.sort(r.choice(n, many, replace=False))
+        after = c.copy()
+        after[u] = [c[r.choice(np.append(b[a == v], v))] for v in u]  # as in moves, to where a neighbour is
+        near.moved(u, c, after)
+        c = after
+        want = np.zeros((n, n))
+        np.add.at(want.T, c, w)
+        got = np.zeros((n, n))
+        got[near.v, near.to] = near.weight
+        assert (got == want).all() and (np.diff(near.key) > 0).all()
+        assert (near.to[near.first] == near.to[np.searchsorted(near.v, np.arange(n))]).all() and (near.to == c[near.v]).sum() == n
+
+
+def test_nearest_in_any_blocks(spark):
+    """The ten nearest against all pairs, many of them exact copies, whose ties go by name; to the last digit the same in any blocks."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(700, 12)).astype(np.float32)
+    x[300:] = x[r.integers(0, 60, 400)]
+    x[20:23] = 0
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    similarity = (unit[:, None] * unit[None]).sum(axis=2)
+    np.fill_diagonal(similarity, -np.inf)
+    best = np.argsort(-similarity, axis=1, kind="stable")[:, :10]
+    want = [(i, int(j), k + 1, float(similarity[i, j])) for i in range(700) for k, j in enumerate(best[i])]
+    vectors = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    for block, wide in ((700, 700), (90, 250), (2000, 11)):
+        assert sorted(map(tuple, nearest(vectors, block=block, wide=wide).collect()), key=lambda y: (y[0], y[2])) == want
+
+
 def test_hashes_are_spark_s(spark):
     ids = [0, 1, -1, 7, 1 << 40, -(1 << 62), 12345678901]
     want = spark.createDataFrame([(x, x ^ 5) for x in ids], "a long, b long").selectExpr("a", "b", "xxhash64(a, b, 3) AS h", "xxhash64(a, 0) AS g").collect()
